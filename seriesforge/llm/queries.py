@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import common, quality_rules, rule_ensemble, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of fold 1 of 3 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    rules = rule_ensemble.RuleEnsemble().fit(docs, table(spark, sf_dir, "labels"), keep=common.fold("doc_id", 3) != 1)
+    scored = rule_ensemble.score(docs, rules)
+    return scored.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of fold 0 of 5 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.ToxicPassages().fit(docs, table(spark, sf_dir, "labels"), keep=common.fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_segments")
+
+
 def op10_quality_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rule and calibrated n-gram verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -22,6 +38,8 @@ def op10_quality_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_rule_ensemble": op5_quality_rule_ensemble,
+    "op9_toxic_segments": op9_toxic_segments,
     "op10_quality_ngram_rules": op10_quality_ngram_rules,
 }
 
