@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality_rules, rule_ensemble, toxicity
+from . import common, packing, quality_rules, rule_ensemble, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as Parquet in ascending order and read back."""
+    path = common.staging_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.digest(spark, path)
+
+
+def op3_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
 def op5_quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of fold 1 of 3 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +51,8 @@ def op10_quality_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
+    "op3_differencing_packs": op3_differencing_packs,
     "op5_quality_rule_ensemble": op5_quality_rule_ensemble,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_quality_ngram_rules": op10_quality_ngram_rules,
