@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality_rules, rule_ensemble, token_files, toxicity
+from . import common, mixing, packing, quality_rules, rule_ensemble, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,16 @@ def op5_quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+
+
+def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; 4 differing bits link."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=4, width=4)
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of fold 0 of 5 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -54,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_differencing_packs": op3_differencing_packs,
     "op5_quality_rule_ensemble": op5_quality_rule_ensemble,
+    "op6_entropy_mix": op6_entropy_mix,
+    "op7_golay_simhash": op7_golay_simhash,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_quality_ngram_rules": op10_quality_ngram_rules,
 }
