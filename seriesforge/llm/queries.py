@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, quality_rules, rule_ensemble, simhash, token_files, toxicity
+from . import common, embedding_dedup, mixing, packing, quality_rules, rule_ensemble, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
+def op4_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels of fold 1 of 3 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +68,7 @@ def op10_quality_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_differencing_packs": op3_differencing_packs,
+    "op4_int8_embedding_dedup": op4_int8_embedding_dedup,
     "op5_quality_rule_ensemble": op5_quality_rule_ensemble,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_golay_simhash": op7_golay_simhash,
