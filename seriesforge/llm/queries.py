@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, mixing, packing, quality_rules, rule_ensemble, simhash, token_files, toxicity
+from . import common, embedding_dedup, hmm, mixing, packing, quality_rules, rule_ensemble, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text; texts of fold 1 of 5 are held out of training."""
+    return hmm.HiddenMarkov().score(table(spark, sf_dir, "documents"), common.fold("doc_id", 5) == 1)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Parquet in ascending order and read back."""
     path = common.staging_path(spark, "tokens")
@@ -66,6 +71,7 @@ def op10_quality_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_scores": op1_hmm_scores,
     "op2_token_files": op2_token_files,
     "op3_differencing_packs": op3_differencing_packs,
     "op4_int8_embedding_dedup": op4_int8_embedding_dedup,
