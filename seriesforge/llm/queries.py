@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import common, embedding_dedup, hmm, mixing, packing, quality_rules, rule_ensemble, simhash, token_files, toxicity
+from . import common, embedding_dedup, hmm, mixing, packing, quality_rules, rule_ensemble, simhash, suffix_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,16 @@ def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), bits=4, width=4)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 100 bytes."""
+    return suffix_dedup.spans(table(spark, sf_dir, "documents"), width=100)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of fold 0 of 5 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -78,8 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rule_ensemble": op5_quality_rule_ensemble,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_golay_simhash": op7_golay_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxic_segments": op9_toxic_segments,
     "op10_quality_ngram_rules": op10_quality_ngram_rules,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
