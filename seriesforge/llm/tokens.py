@@ -2,11 +2,12 @@
 
 Special strings such as <|endoftext|> inside a text are ordinary text. Two kinds of file are split into independent
 units first: byte-level BPE with the usual pattern, where a space belongs to the word behind it, and lower-casing BPE
-that drops white space. Every other file is handed whole texts. Caches hold `most` entries each and start anew beyond.
+that drops white space. Every other file is handed whole texts. The cache holds `most` entries and starts anew beyond.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -21,16 +22,22 @@ WHITE = "\t-\r \x85\xa0  -     　"
 
 _SPACED_UNIT = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _PLAIN_UNIT = re.compile(rf"[^{WHITE}]+")
-#: Bytes that begin, or are, white space or controls other than the space and the line feed.
+#: A whole run of marks, none of them ' or _, that stands right behind a letter or digit, or anywhere.
+_TAIL = re.compile(r"(?<=[^\W_])[^\w\s'_]++(?!['_])")
+_MARKS = re.compile(r"(?<![^\w\s])(?<!_)[^\w\s'_]++(?!['_])")
+#: Bytes that begin, or are, white space or controls other than the space and the line feed; in plain files also those
+#: that begin letters whose lower case or composition is not theirs alone.
 _ODD = np.zeros(256, bool)
-_ODD[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ODD[[0, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ODD_PLAIN = _ODD.copy()
+_ODD_PLAIN[[0xC4, *range(0xCA, 256)]] = True
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
     """ids of texts as little-endian bytes of type `dtype`."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,8 +45,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most = most
-        self.words: dict[str, bytes] = {}  # in spaced files: words behind a space, without it
-        self.units: dict[str, bytes] = {}
+        #: By chunk. In spaced files a chunk stands behind a space, or is marked with a leading NUL if it does not.
+        self.known: dict[str, bytes] = {}
         with open(path) as f:
             kind = json.load(f)
         before, norm = kind["pre_tokenizer"] or {}, kind["normalizer"]
@@ -50,7 +57,7 @@ class Encoder:
             self.kind, self.pattern = "plain", regex.compile(PLAIN_PATTERN)
 
     @classmethod
-    def of(cls, path: str, most: int = 400_000) -> Encoder:
+    def of(cls, path: str, most: int = 600_000) -> Encoder:
         """One encoder a process."""
         if (path, most) not in _encoders:
             _encoders[path, most] = cls(path, most)
@@ -64,67 +71,87 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """ids of each UTF-8 text."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small strings and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         decoded = [x.decode("utf-8", "replace") for x in texts]
         if self.kind == "whole":
             return self._whole(decoded)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        odd = np.concatenate([[0], np.cumsum(_ODD[np.frombuffer(b"".join(texts), np.uint8)])])
+        special = (_ODD if self.kind == "spaced" else _ODD_PLAIN)[np.frombuffer(b"".join(texts), np.uint8)]
+        odd = np.concatenate([[0], np.cumsum(special)])
         ends = np.cumsum(sizes)
         odd = (odd[ends] > odd[ends - sizes]).tolist()
         split = self._split_spaced if self.kind == "spaced" else self._split_plain
-        parts = [split(x, o) for x, o in zip(decoded, odd, strict=True)]
-        heads, tails = zip(*parts, strict=True) if parts else ((), ())
-        self._learn_words(set().union(*tails) - self.words.keys())
-        self._learn_units(set().union(*heads) - self.units.keys())
-        word, unit = self.words.__getitem__, self.units.__getitem__
-        out = [b"".join(map(unit, h)) + b"".join(map(word, t)) for h, t in parts]
-        if len(self.words) > self.most:
-            self.words = {}
-        if len(self.units) > self.most:
-            self.units = {}
+        marked = [i for i, (x, o) in enumerate(zip(decoded, odd, strict=True)) if o and "\0" in x]  # NUL marks chunks
+        chunks = [split(x, o) for x, o in zip(decoded, odd, strict=True)]
+        for i in marked:
+            chunks[i] = []
+        self._learn(set().union(*chunks).difference(self.known))
+        known = self.known.__getitem__
+        out = [b"".join(map(known, c)) for c in chunks]
+        for i, x in zip(marked, self._whole([decoded[i] for i in marked]), strict=True):
+            out[i] = x
+        if len(self.known) > self.most:
+            self.known = {}
         return out
 
-    def _split_spaced(self, text: str, odd: bool) -> tuple[list[str], list[str]]:
-        """Units as they are, then words behind one space each."""
+    def _split_spaced(self, text: str, odd: bool) -> list[str]:
         if not text:
-            return [], []
-        if odd or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text:
-            return _SPACED_UNIT.findall(text), []
-        first, *rest = text.split(" ")
-        return self.pattern.findall(first), rest
-
-    def _split_plain(self, text: str, odd: bool) -> tuple[list[str], list[str]]:
-        return [], (_PLAIN_UNIT.findall(text) if odd else text.split())
-
-    def _learn_words(self, missing: set[str]) -> None:
-        whole, split = [], {}
-        if self.kind == "spaced":
-            split = {w: self.pattern.findall(" " + w) for w in missing}
+            return []
+        if odd or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return [x[1:] if x[0] == " " and len(x) > 1 and not x.isspace() else "\0" + x for x in _SPACED_UNIT.findall(text)]
+        return ("\0" + _TAIL.sub(" \0\\g<0>", text).replace("\n", " \0\n \0")).split(" ")
+
+    def _split_plain(self, text: str, odd: bool) -> list[str]:
+        return _PLAIN_UNIT.findall(text) if odd else _MARKS.sub(r" \g<0> ", text.lower()).split()
+
+    def _learn(self, missing: set[str]) -> None:
+        """Chunks of letters are one unit each, others are split into units first."""
+        spaced = self.kind == "spaced"
+        plain = [x for x in missing if x.isalpha()]
+        if not spaced:
+            plain = [x for x in plain if x.isascii() or (max(x) < "ɐ" and "İ" not in x and x == x.lower())]
+        self._learn_units(plain, [" " + x for x in plain] if spaced else plain)
+        rest = missing.difference(plain)
+        if not rest:
+            return
+        if spaced:
+            split = {x: self.pattern.findall(x[1:] if x[0] == "\0" else " " + x) for x in rest}
+            names = {u: u[1:] if u[0] == " " and len(u) > 1 and not u.isspace() else "\0" + u for u in set().union(*split.values())}
         else:
-            for w in missing:
-                if w.isascii() or (max(w) < "ɐ" and "İ" not in w):  # no composing marks, lower case by character
-                    split[w] = self.pattern.findall(w.lower())
-                else:
-                    whole.append(w)
-        self._learn_units(set().union(*split.values()) - self.units.keys())
-        unit = self.units.__getitem__
-        for w, units in split.items():
-            self.words[w] = b"".join(map(unit, units))
-        self.words.update(zip(whole, self._whole(whole), strict=True))
-
-    def _learn_units(self, missing: set[str]) -> None:
-        """Units stay units between separators; those that hold white space alone are encoded one by one."""
-        blank = [x for x in missing if x.isspace() or (self.kind == "spaced" and _SPACED_UNIT.fullmatch(x) is None)]
-        self.units.update(zip(blank, self._whole(blank), strict=True))
-        solid = list(missing.difference(blank))
-        separator, step = ("\n", 2) if self.kind == "spaced" else (" ", 1)
-        for i in range(0, len(solid), 256):
-            some = solid[i : i + 256]
-            e = self.tokenizer.encode(separator.join(some), add_special_tokens=False)
+            lowered = {x: x.lower() for x in rest if x.isascii() or (max(x) < "ɐ" and "İ" not in x)}
+            split = {x: self.pattern.findall(y) for x, y in lowered.items()}
+            names = {u: u for u in set().union(*split.values())}
+            whole = list(rest.difference(lowered))
+            self.known.update(zip(whole, self._whole(whole), strict=True))
+        new = [u for u, n in names.items() if n not in self.known]
+        letters = [u for u in new if u[-1].isalpha() and u[0] != "'" and (not spaced or u[0] == " ")]
+        self._learn_units([names[u] for u in letters], letters)
+        others = list(set(new).difference(letters))
+        self.known.update(zip([names[u] for u in others], self._whole(others), strict=True))
+        known = self.known
+        for x, units in split.items():
+            if x not in known:
+                known[x] = b"".join([known[names[u]] for u in units])
+
+    def _learn_units(self, names: list[str], units: list[str]) -> None:
+        """Runs of letters, each behind a space in spaced files: they stay apart when many are encoded as one text."""
+        join = "".join if self.kind == "spaced" else " ".join
+        wide = self.dtype.itemsize
+        for i in range(0, len(units), 128):
+            some = units[i : i + 128]
+            e = self.tokenizer.encode(join(some), add_special_tokens=False)
             word = np.array(e.word_ids)
-            ids = np.array(e.ids, self.dtype)
-            if len(word) and word[-1] == step * (len(some) - 1):
-                cut = np.searchsorted(word, np.arange(0, step * len(some), step)), np.searchsorted(word, np.arange(0, step * len(some), step), "right")
-                self.units.update((x, ids[a:b].tobytes()) for x, a, b in zip(some, *cut, strict=True))
+            if len(word) and word[-1] == len(some) - 1:
+                data = np.array(e.ids, self.dtype).tobytes()
+                cut = (wide * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+                self.known.update((x, data[a:b]) for x, a, b in zip(names[i : i + 128], cut[:-1], cut[1:], strict=True))
             else:
-                self.units.update(zip(some, self._whole(some), strict=True))
+                self.known.update(zip(names[i : i + 128], self._whole(some), strict=True))
