@@ -103,7 +103,7 @@ class Expected:
             ids[: len(x), j] = x
         active = np.searchsorted(-sizes, -np.arange(1, T + 1), "right").tolist()
         e = self._emit32[ids]
-        a, b, c = np.empty((T, B, K), np.float32), np.ones((T, B, K), np.float32), np.ones((T, B), np.float32)
+        a, b, c = np.zeros((T, B, K), np.float32), np.ones((T, B, K), np.float32), np.ones((T, B), np.float32)
         x = self.model.start.astype(np.float32)[later] * e[0]
         for t, n in enumerate(active):
             if t:

@@ -5,7 +5,7 @@ constraint per source: the sum of w * size equals the source's target. The conve
 exponentially tilted rates w = cap / (1 + (cap - 1) * exp(-t * size / scale)); Newton iterations over the distributed
 table of (source, size) cells find every t at once, with a bracket as safeguard. Rates are rounded into whole copies,
 cell by cell from the largest size on, each cell taking over the error of those before, so that a source misses its
-target by about half of its smallest document; within a cell, hashes of ids decide which documents get one copy more.
+target by about half of its smallest document (more only if one text outweighs all others of its source); within a cell, hashes of ids decide which documents get one copy more.
 
 Targets: sources in code-point order, null last, have weights that repeat; they share all sizes, but none more than
 `cap` times its own size, the excess is shared again by weight.

@@ -180,7 +180,7 @@ def links(distinct: DataFrame, bits: int = 4, tile: int = 2048) -> DataFrame:
     crowded = common.staged(crowded.select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "crowded")
     # a group is a key, or a pair of tiles of a crowded key
     t = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("bigint")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).cast("bigint")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1).cast("array<bigint>"))
     if crowded.isEmpty():
         grouped = keyed.select(F.col("key").alias("grp"), "fp")
     else:

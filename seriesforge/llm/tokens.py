@@ -2,7 +2,8 @@
 
 Special strings such as <|endoftext|> inside a text are ordinary text. Two kinds of file are split into independent
 units first: byte-level BPE with the usual pattern, where a space belongs to the word behind it, and lower-casing BPE
-that drops white space. Every other file is handed whole texts. The cache holds `most` entries and starts anew beyond.
+that drops white space. Every other file is handed whole texts. The cache starts anew beyond `most` entries, and
+the one before it is asked first.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 class Encoder:
     """ids of texts as little-endian bytes of type `dtype`."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,6 +48,9 @@ class Encoder:
         self.most = most
         #: By chunk. In spaced files a chunk stands behind a space, or is marked with a leading NUL if it does not.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # its own cache of words only costs time here
+            self.tokenizer.model._resize_cache(0)
         with open(path) as f:
             kind = json.load(f)
         before, norm = kind["pre_tokenizer"] or {}, kind["normalizer"]
@@ -57,7 +61,7 @@ class Encoder:
             self.kind, self.pattern = "plain", regex.compile(PLAIN_PATTERN)
 
     @classmethod
-    def of(cls, path: str, most: int = 600_000) -> Encoder:
+    def of(cls, path: str, most: int = 400_000) -> Encoder:
         """One encoder a process."""
         if (path, most) not in _encoders:
             _encoders[path, most] = cls(path, most)
@@ -93,13 +97,18 @@ class Encoder:
         chunks = [split(x, o) for x, o in zip(decoded, odd, strict=True)]
         for i in marked:
             chunks[i] = []
-        self._learn(set().union(*chunks).difference(self.known))
+        missing = set().union(*chunks).difference(self.known)
+        if self.old:
+            again = {x: self.old[x] for x in missing if x in self.old}
+            self.known.update(again)
+            missing.difference_update(again)
+        self._learn(missing)
         known = self.known.__getitem__
         out = [b"".join(map(known, c)) for c in chunks]
         for i, x in zip(marked, self._whole([decoded[i] for i in marked]), strict=True):
             out[i] = x
         if len(self.known) > self.most:
-            self.known = {}
+            self.old, self.known = self.known, {}
         return out
 
     def _split_spaced(self, text: str, odd: bool) -> list[str]:
