@@ -1,7 +1,7 @@
 """Language-model scoring with a hidden Markov model.
 
-Tokens: white-space words with A-Z lower-cased, then one end per text. The `max_words` most frequent training words have
-emissions of their own; all others, also unseen ones, are one tail class, inside which the smoothed unigram model divides
+Tokens: white-space words with A-Z lower-cased, then one end per text. The most frequent training words, at most
+`max_words`, have emissions of their own; all others, also unseen ones, are one tail class, inside which the smoothed unigram model divides
 the class's probability. So every token has a positive probability, and all tokens' probabilities add up to 1.
 
 Baum-Welch: each task gathers expected emission, transition and start counts over its part of the training texts (in
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -165,7 +165,7 @@ class HiddenMarkov:
         counts = common.staged(self._counts(rows.where(~F.col("held_out"))), "word-counts")
         total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         unigram = Unigram(total, types)
-        top = counts.where(F.col("word").isNotNull() & (F.length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(self.max_words).collect()
+        top = self._top(counts.where(F.col("word").isNotNull() & (F.length("word") <= LONGEST)))
         ends = (counts.where("word is null").agg(F.sum("n")).first() or [0])[0] or 0
         number = {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
         base = unigram.probability(np.array([0, ends, *(r["n"] for r in top)], float))
@@ -215,6 +215,14 @@ class HiddenMarkov:
             F.lit(total).cast("bigint").alias("train_tokens"), (F.col("plain") + logs_ if total else F.lit(0.0)).alias("base_score"), score.alias("score"),
         )
 
+    def _top(self, counts: DataFrame) -> list:
+        """The words more frequent than the level at which there would be over max_words, the most frequent first."""
+        upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+        levels = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto)  # one row per distinct count
+        least = levels.where(F.col("upto") <= self.max_words).agg(F.min("n")).first()[0]
+        rows = counts.where(F.col("n") >= least).collect() if least is not None else []
+        return sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))
+
     def train(self, coded: DataFrame, base: np.ndarray) -> Model:
         """Baum-Welch rounds over all rows of `coded` (ids)."""
         sample, size = [], 0
