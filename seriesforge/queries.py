@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,7 +138,33 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 _NAME = Matcher("event_type", "=", "click")
+
+
+def _store(spark: SparkSession) -> store.Store:
+    """A new store in the folder that the cluster shares."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='seriesforge-')}"
+    return store.Store(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convert events to day blocks of a stream, open them again and query them."""
+    s, external = _store(spark), {"region": "eu"}
+    s.convert(tables.events(spark, sf_dir), external, ["events"])
+    opened = s.open(store.stream_hash(spark, external), START - LOOKBACK, END, lookback_ms=LOOKBACK)
+    q = compile_query(opened, "sum by (region, event_type) (event_value)", DAILY)
+    return shown(q.df, q.labels)
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What discovery sees after a conversion: day, series, samples, mint, maxt."""
+    s = _store(spark)
+    s.convert(tables.events(spark, sf_dir), {}, ["events"])
+    return s.discover().select("day", "series", "samples", "mint", "maxt")
+
+
 QUERIES |= {
+    "store_query": (stored, f"{_W} SELECT step, round(sum(v), 8) AS value, event_type, 'eu' AS region FROM iv GROUP BY step, event_type"),
+    "store_blocks": (blocks, "SELECT CAST(ts AS DATE) AS day, count(DISTINCT (event_type, user_id)) AS series, count(DISTINCT (event_type, user_id, epoch_us(ts) // 1000)) AS samples, min(epoch_us(ts) // 1000) AS mint, max(epoch_us(ts) // 1000) AS maxt FROM events GROUP BY 1"),
     "label_names": (_meta(lambda s: s.label_names()), "SELECT UNNEST(['__name__', 'event_type', 'user_id']) AS name"),
     "label_values": (_meta(lambda s: s.label_values("event_type")), "SELECT DISTINCT event_type AS value FROM events"),
     "label_values_matched": (_meta(lambda s: s.label_values("user_id", [_NAME])), "SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events WHERE event_type = 'click'"),

@@ -125,15 +125,17 @@ class Store:
         for n in names:  # absent and empty are one
             samples = samples.withColumn(f"l_{n}", F.when(label(n) != "", label(n)))
         merged = Storage(samples).select([])
-        rows = merged.withColumn("series_id", series_id(names)).withColumn("day", day_column()).withColumn("stream_hash", F.lit(stream)).withColumn("slot", slot(F.col("ts_ms")))
+        rows = merged.withColumn("series_id", series_id(names)).withColumn("day", day_column()).withColumn("stream_hash", F.lit(stream)).withColumn("slot", slot(F.col("ts_ms"))).persist()
         order = [label(x) for x in sort_labels if x in names]
         counts = rows.groupBy("day").agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"), F.count("*").alias("samples"), F.countDistinct("series_id").alias("series")).collect()
         if not counts:
+            rows.unpersist()
             raise QueryError("no series to convert", "execution")
         series = rows.select("stream_hash", "day", "series_id", *(label(x) for x in names)).distinct()
         series.repartitionByRange("day", *order, "series_id").sortWithinPartitions("day", *order, "series_id").write.option("maxRecordsPerFile", series_per_file).option("parquet.bloom.filter.enabled#l___name__", "true").mode("append").partitionBy("stream_hash", "day").parquet(f"{self.root}/series")
         values = rows.select("stream_hash", "day", "series_id", "slot", "ts_ms", "value", "is_stale")
         values.repartitionByRange("day", "series_id").sortWithinPartitions("day", "series_id", "ts_ms").write.mode("append").partitionBy("stream_hash", "day").parquet(f"{self.root}/samples")
+        rows.unpersist()
         if stream not in known:
             self.spark.createDataFrame([(stream, json.dumps(external))], STREAMS).write.mode("append").parquet(f"{self.root}/streams")
         self._append([(stream, r["day"], 2, r["mint"], r["maxt"], r["series"], r["samples"], sources, None) for r in counts])
