@@ -7,6 +7,7 @@ import math
 import re
 import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -58,13 +59,16 @@ def number(value: float) -> str:
 
 @dataclass
 class Api:
-    """max_samples: most samples that a result may have, 0 for any number; concurrency: queries at a time, 0 for any number."""
+    """timeout_ms: longest time of a query, 0 for any; a request may ask for less.
+
+    max_samples: most samples that a result may have, 0 for any number; concurrency: queries at a time, 0 for any number."""
 
     storage: Storage
     default_step_ms: int = 30_000
     max_samples: int = 10_000_000
     concurrency: int = 100
     subquery_step_ms: int = 60_000
+    timeout_ms: int = 30_000
     _gate: threading.BoundedSemaphore | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
@@ -77,7 +81,7 @@ class Api:
             if self._gate:
                 self._gate.acquire()
             try:
-                data = self._route(path.removeprefix("/api/v1"), params)
+                data = self._timed(path.removeprefix("/api/v1"), params)
             finally:
                 if self._gate:
                     self._gate.release()
@@ -86,6 +90,36 @@ class Api:
         out = {"status": "success", "data": data}
         return 200, out | ({"warnings": self.storage.warnings.messages} if self.storage.warnings.messages else {})
 
+    def _timed(self, path: str, params: dict) -> object:
+        """_route() in a job group of its own, which is cancelled when the time is over."""
+        asked = step_ms(params["timeout"]) if "timeout" in params else 0
+        limit = min(filter(None, (asked, self.timeout_ms)), default=0)
+        if not limit:
+            return self._route(path, params)
+        context, group, over = self.storage.samples.sparkSession.sparkContext, f"query-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            over.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(limit / 1000, stop)
+        context.setJobGroup(group, path, interruptOnCancel=True)
+        timer.start()
+        try:
+            data = self._route(path, params)
+            if over.is_set():
+                raise QueryError("query timed out in expression evaluation", "timeout")
+            return data
+        except QueryError:
+            raise
+        except Exception as e:
+            if over.is_set():
+                raise QueryError("query timed out in expression evaluation", "timeout") from e
+            raise QueryError(str(e).splitlines()[0] if str(e) else type(e).__name__, "execution") from e
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+
     def json(self, path: str, **params: str | list[str]) -> str:
         return json.dumps(self.handle(path, **params)[1])
 

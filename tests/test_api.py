@@ -4,7 +4,7 @@ from .load import storage
 
 
 def test_endpoints(spark):
-    api = Api(storage(spark, 'm{a="1"} 1 2 3\nm{a="2"} 4 5 6\nn NaN', external={"e": "x"}))
+    api = Api(timeout_ms=0, storage=storage(spark, 'm{a="1"} 1 2 3\nm{a="2"} 4 5 6\nn NaN', external={"e": "x"}))
     status, out = api.handle("/api/v1/query", query="m", time="600")
     assert status == 200 and out["data"]["resultType"] == "vector"
     assert out["data"]["result"] == [{"metric": {"__name__": "m", "a": a, "e": "x"}, "value": [600.0, v]} for a, v in (("1", "3"), ("2", "6"))]
@@ -21,7 +21,7 @@ def test_endpoints(spark):
 
 
 def test_errors(spark):
-    api = Api(storage(spark, 'm{a="1"} 1'), max_samples=1)
+    api = Api(storage(spark, 'm{a="1"} 1'), max_samples=1, timeout_ms=0)
     for path, params, want in (
         ("/query", {"query": "sum("}, 400), ("/query", {"query": "m", "time": "x"}, 400), ("/series", {}, 400), ("/nowhere", {}, 404), ("/label/a-b/values", {}, 400),
         ("/query_range", {"query": "m", "start": "5", "end": "1", "step": "1"}, 400), ("/query_range", {"query": "m", "start": "0", "end": "1", "step": "0"}, 400),
@@ -29,3 +29,11 @@ def test_errors(spark):
     ):
         status, out = api.handle(f"/api/v1{path}", **params)
         assert status == want and out["status"] == "error", (path, out)
+
+
+def test_timeout_and_execution_errors(spark):
+    api = Api(storage(spark, 'm{a="1"} 1\nm{a="2"} 1\nn{a="1"} 1'))
+    status, out = api.handle("/api/v1/query", query="m", time="0", timeout="1ms")
+    assert (status, out["errorType"]) in ((503, "timeout"), (422, "execution"))
+    status, out = api.handle("/api/v1/query", query="n / on () m", time="0", timeout="10m")
+    assert status in (422, 503) and out["status"] == "error"
