@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 #: Bytes of text that the numpy kernels take at once; a longer single text forms its own slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +62,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, which else stays with workers that wait for their next task."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about `most` bytes of text each, one row at least, and their texts."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -68,6 +81,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         size += n
     if first < batch.num_rows:
         yield batch.slice(first), texts(column.slice(first))
+    _trim()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Column | None = None) -> DataFrame:

@@ -175,7 +175,8 @@ def links(distinct: DataFrame, bits: int = 4, tile: int = 2048) -> DataFrame:
                 keys, row = fuzzy_keys(fp.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[row])], ["key", "fp"])
 
-    keyed = distinct.select("fp").mapInArrow(key, "key bigint, fp bigint")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fingerprint makes some 85 rows
+    keyed = distinct.select("fp").repartition(tasks, "fp").mapInArrow(key, "key bigint, fp bigint")
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile)
     crowded = common.staged(crowded.select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "crowded")
     # a group is a key, or a pair of tiles of a crowded key
