@@ -2,8 +2,9 @@
 
 Rates w of documents minimise the relative entropy to one copy each, within 0 and `cap` copies, under one token
 constraint per source: the sum of w * size equals the source's target. The convex dual separates by source, with
-exponentially tilted rates w = cap / (1 + (cap - 1) * exp(-t * size / scale)); Newton iterations over the distributed
-table of (source, size) cells find every t at once, with a bracket as safeguard. Rates are rounded into whole copies,
+exponentially tilted rates w = cap / (1 + (cap - 1) * exp(-t * size)). Newton iterations over the (source, size) cells
+of a source find its t inside a bracket that grows until it holds t; a source that misses its target by more than the
+tolerance raises an error. Rates are rounded into whole copies,
 cell by cell from the largest size on, each cell taking over the error of those before, so that a source misses its
 target by about half of its smallest document (more only if one text outweighs all others of its source); within a cell, hashes of ids decide which documents get one copy more.
 
@@ -17,6 +18,7 @@ per source and one row per distinct size of a source are what meets in one task.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +35,9 @@ def size() -> Column:
 
 
 def targets(cells: DataFrame, weights: tuple[float, ...], cap: int) -> DataFrame:
-    """One row per source: s (its number), source, source_size, scale, target."""
+    """One row per source: s (its number), source, source_size, target."""
     mass = F.col("n") * F.col("k") * F.col("size")
-    sources = cells.groupBy("source").agg(F.sum(mass).alias("source_size"), F.sum(mass * F.col("size").cast("double")).alias("square"))
+    sources = cells.groupBy("source").agg(F.sum(mass).alias("source_size"))
     s = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     sources = sources.withColumn("s", s).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.col("s") - 1) % len(weights) + 1).cast("int")))
     # sources reach their caps in order of cap / weight: level is the share per weight if all before are at their caps
@@ -48,52 +50,65 @@ def targets(cells: DataFrame, weights: tuple[float, ...], cap: int) -> DataFrame
     ratio = most / F.col("weight")
     first = F.min(F.when(ratio >= F.col("level"), F.struct(ratio.alias("ratio"), "s", "level"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     target = F.least(most, F.coalesce(first["level"] * F.col("weight"), most))
-    return sources.select("s", "source", "source_size", (F.col("square") / F.greatest("source_size", F.lit(1))).alias("scale"), target.alias("target"))
+    return sources.select("s", "source", "source_size", target.alias("target"))
 
 
-def rate(tilt: Column, cap: int) -> Column:
-    """Copies of a document in the mix, before rounding."""
-    return F.lit(float(cap)) / (F.lit(1.0) + F.lit(float(cap - 1)) * F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), tilt * F.col("size") / F.col("scale")))))
+#: Exponents beyond it, and tilts per word beyond it, change no rate: no text that counts has less than one word.
+FAR = 700.0
 
 
-def tilts(cells: DataFrame, sources: DataFrame, cap: int, steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
-    """Newton iterations on the dual; one row per source with its tilt t.
+def rate(tilt: float, size: np.ndarray, cap: int) -> np.ndarray:
+    """Copies of documents in the mix, before rounding."""
+    return cap / (1.0 + (cap - 1) * np.exp(-np.clip(tilt * size, -FAR, FAR)))
 
-    Cells have s, size, n, k. Each step is one aggregation of the cells; a step that leaves the bracket of a tilt halves
-    it. Targets at the cap are reached in the limit, where t is taken as 700.
+
+def solved(size: np.ndarray, mass: np.ndarray, target: float, cap: int, tolerance: float = 1e-9) -> float:
+    """The tilt at which rates times `mass` add up to `target`, by Newton steps inside a bracket.
+
+    The bracket starts at one over the largest size and doubles or halves until it holds the tilt; a Newton step that
+    leaves it, or follows one that did not halve it, is replaced by its middle. Targets at the cap are reached in the
+    limit, where the tilt is FAR.
     """
-    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-9)
-    state = sources.select("s", "source_size", "target", "scale", F.when(full, 700.0).otherwise(F.lit(0.0)).alias("t"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"))
-    state = common.staged(state, "tilts")
-    for _ in range(steps):
-        mass = F.col("n") * F.col("k") * F.col("size")
-        w = rate(F.col("t"), cap)
-        sums = cells.join(state.select("s", "t", "scale"), "s").groupBy("s").agg(F.sum(mass * w).alias("got"), F.sum(mass * F.col("size") / F.col("scale") * w * (1 - w / cap)).alias("slope"))
-        gap = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("target")
-        done = (F.abs(gap) <= tolerance * F.greatest("target", F.lit(1.0))) | full | (F.col("high") - F.col("low") < 1e-12)
-        low, high = F.when(gap < 0, F.col("t")).otherwise(F.col("low")), F.when(gap > 0, F.col("t")).otherwise(F.col("high"))
-        step = F.col("t") - F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.when(F.col("slope") > 1e-12, gap / F.col("slope")).otherwise(F.signum(gap) * 4)))
-        held = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
-        following = state.join(sums, "s", "left").select("s", "source_size", "target", "scale", F.when(done, F.col("t")).otherwise(held).alias("t"), low.alias("low"), high.alias("high"), done.alias("done"))
-        following = common.staged(following, "tilts")
-        common.discard(state)
-        state = following
-        if state.where(~F.col("done")).isEmpty():
-            break
-        state = _same(state.drop("done"), state)
-    return state
-
-
-def _same(df: DataFrame, of: DataFrame) -> DataFrame:
-    df.staged_path = of.staged_path
-    return df
-
-
-def copies(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
-    """Whole copies of each cell: every document of the cell gets `base`, `extra` of them one more."""
+    size, mass = size[mass > 0], mass[mass > 0]
+    whole = float(mass.sum())
+    if target >= cap * whole * (1 - tolerance):
+        return FAR
+
+    def miss(t: float) -> float:
+        return float(mass @ rate(t, size, cap)) - target
+
+    near = lambda gap: abs(gap) <= tolerance * target
+    if near(whole - target):
+        return 0.0
+    side = 1.0 if target > whole else -1.0
+    outer = 1.0 / float(size.max())
+    while outer < FAR and side * miss(side * outer) < 0:
+        outer = min(2 * outer, FAR)
+    while side * miss(side * outer / 2) > 0:
+        outer /= 2
+    low, high = sorted((side * outer / 2, side * outer))
+    t, width = (low + high) / 2, high - low
+    for _ in range(200):
+        w = rate(t, size, cap)
+        gap = float(mass @ w) - target
+        if near(gap):
+            return t
+        low, high = (t, high) if gap < 0 else (low, t)
+        slope = float((mass * size) @ (w * (1 - w / cap)))
+        step = t - gap / slope if slope > 0 else low
+        halved, width = high - low <= width / 2, high - low
+        t = step if halved and low < step < high else (low + high) / 2
+    raise ArithmeticError(f"no tilt meets a source's target of {target} words of {whole}")
+
+
+def copies(cells: DataFrame, cap: int) -> DataFrame:
+    """Whole copies of each cell (s, size, k, n, target): every document gets `base`, `extra` of the cell one more."""
 
     def spread(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "k"], ascending=False, ignore_index=True)
+        size = group["size"].to_numpy(float)
+        tilt = solved(size, group["n"].to_numpy(float) * group["k"].to_numpy(float) * size, float(group["target"].iloc[0]), cap)
+        group["rate"] = rate(tilt, size, cap)
         error, base, extra = 0.0, [], []
         for n, k, words, w in zip(group["n"].tolist(), group["k"].tolist(), group["size"].tolist(), group["rate"].tolist(), strict=True):
             unit = k * words
@@ -104,8 +119,7 @@ def copies(cells: DataFrame, state: DataFrame, cap: int) -> DataFrame:
         group["base"], group["extra"] = base, extra
         return group[["s", "size", "k", "n", "rate", "base", "extra"]]
 
-    rated = cells.join(state.select("s", "t", "scale"), "s").select("s", "size", "k", "n", rate(F.col("t"), cap).alias("rate"))
-    return rated.groupBy("s").applyInPandas(spread, "s int, size bigint, k bigint, n bigint, rate double, base bigint, extra bigint")
+    return cells.groupBy("s").applyInPandas(spread, "s int, size bigint, k bigint, n bigint, rate double, base bigint, extra bigint")
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -114,9 +128,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3)
     units = common.staged(units, "mix-units")
     counted = common.staged(units.groupBy("source", "size", "k").agg(F.count("*").alias("n")), "mix-cells")
     sources = common.staged(targets(counted, weights, cap), "mix-sources")
-    cells = common.staged(counted.join(sources.select("s", "source"), counted["source"].eqNullSafe(sources["source"])).select("s", "size", "k", "n"), "mix-cells")
+    cells = common.staged(counted.join(sources.select("s", "source", "target"), counted["source"].eqNullSafe(sources["source"])).select("s", "size", "k", "n", "target"), "mix-cells")
     cell = ["s", "size", "k"]
-    shares = common.staged(copies(cells, tilts(cells, sources, cap), cap), "mix-copies")
+    shares = common.staged(copies(cells, cap), "mix-copies")
     numbered = sources.select("s", F.col("source").alias("name"), "source_size", "target")
     units = units.join(numbered, units["source"].eqNullSafe(numbered["name"])).drop("name").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     salted = units.groupBy(*cell, "salt").agg(F.count("*").alias("m"))

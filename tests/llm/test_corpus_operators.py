@@ -120,6 +120,25 @@ def test_mixing(spark):
     assert mixing.mixture(cases.empty(spark)).count() == 0 == mixing.taken(cases.empty(spark)).count()
 
 
+@pytest.mark.parametrize(("names", "weights", "share"), [("ab", (5, 2), 2.5), ("ba", (33, 2), 0.2)])
+def test_mixing_with_few_very_long_texts(spark, names, weights, share):
+    rows = [(i, names[0], "w " * (20 if i < 5000 else 20_000)) for i in range(5005)]
+    rows += [(10_000 + i, names[1], "w " * 1000) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    took = mixing.mixture(docs, weights).where("doc_id < 10000").agg(F.sum("taken"), F.max("target")).first()
+    assert took[0] == pytest.approx(took[1], abs=20) and took[1] == pytest.approx(share * 200_000)
+
+
+def test_tilts():
+    rng = np.random.default_rng(3)
+    for size, n in (([200, 200_000], [5000, 5]), ([50, 100, 200_000], [5000, 5000, 2]), ([300, 3_000_000], [100_000, 1]), (np.unique(rng.integers(1, 10**7, 50)), 1), ([1], [1])):
+        size = np.array(size, float)
+        mass = size * n
+        for share in (1e-6, 0.2, 0.999, 1, 1.001, 2.5, 2.9, 2.9999, 3):
+            w = mixing.rate(mixing.solved(size, mass, share * mass.sum(), 3), size, 3)
+            assert mass @ w == pytest.approx(share * mass.sum(), rel=1e-8)
+
+
 def test_components(spark):
     r = random.Random(6)
     links = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1120)] + [(5000, i) for i in range(5001, 5100)] + [(7, 7), (9999, 9999)]
