@@ -11,7 +11,8 @@ pairs are verified as separate groups, and each group returns its components as
 
 Nulls: a null text counts as empty; texts without words have fingerprint zero and link like any other. Rows with a null
 doc_id get the smallest doc_id of their component, null if it has none. Repeated rows are returned each. An empty table
-gives no rows. Only doc_id and text are read by fingerprints() and near_duplicates().
+gives no rows. Only doc_id and text are read by fingerprints() and near_duplicates(). deduplicated() keeps one row of
+each component, whether or not ids are null or occur elsewhere, too.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, components
@@ -54,16 +55,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every document."""
+def fingerprints(docs: DataFrame, width: int = 4, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and other long columns of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in common.slices(batch):
                 fp = np.array([fingerprint(x, width) for x in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *part.columns[2:]], ["doc_id", "fp", *others])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", *others).mapInArrow(run, ", ".join(f"{x} bigint" for x in ("doc_id", "fp", *others)))
 
 
 def _remainder(x: np.ndarray) -> np.ndarray:
@@ -193,13 +194,13 @@ def links(distinct: DataFrame, bits: int = 4, tile: int = 2048) -> DataFrame:
 
 
 def classes(prints: DataFrame, bits: int = 4) -> DataFrame:
-    """One row per distinct fingerprint of `prints` (doc_id, fp): fp, component_id (smallest doc_id reachable)."""
+    """One row per distinct fingerprint of `prints` (doc_id, fp): fp, root of its component, component_id (smallest doc_id reachable)."""
     distinct = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     root = components.connected(links(distinct, bits))
     rooted = distinct.join(root, distinct["fp"] == root["id"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = common.staged(rooted, "fingerprint-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
@@ -210,22 +211,30 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id, all columns as they are.
+    """One row of each component: the one with the smallest doc_id, null last, all columns as they are.
 
-    Of rows that repeat this doc_id one is kept; rows with a null doc_id are kept if their component has no other.
+    Of different texts under this doc_id the one with the smallest hash is kept, of equal texts one row. An id whose
+    texts represent several components is kept once for each of them.
     """
-    prints = common.staged(fingerprints(docs, width), "prints")
-    found = common.staged(prints.join(classes(prints, bits), "fp").select("doc_id", "fp", "component_id"), "components")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct()
-    k = "keep_id"
-    while k in docs.columns:
-        k += "_"
-    keep = keep.withColumnRenamed("k", k)
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep[k])).drop(k)
-    if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return rows
-    n = "copy_number"
-    while n in docs.columns:
-        n += "_"
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")]))
-    return rows.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
+    prints = common.staged(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), width, ("hash",)), "prints")
+    found = prints.join(classes(prints, bits).select("fp", "root"), "fp").groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "hash")
+    keep = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "hash", "n"), order).alias("kept"))
+    names = [_fresh(x, docs.columns) for x in ("keep_root", "keep_id", "keep_hash", "keep_n")]
+    root, i, h, n = names
+    keep = common.staged(keep.select("root", "kept.doc_id", "kept.hash", "kept.n").toDF(*names), "kept")
+    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep[i]) & (F.xxhash64(docs["text"]) == keep[h]))
+    single = rows.where(F.col(n) == 1).select(*(docs[x] for x in docs.columns))
+    if keep.where(F.col(n) > 1).isEmpty():
+        return single
+    # equal texts under one id: tasks choose among their rows first
+    mixed = F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind))
+    whole = F.struct(*(docs[x] for x in docs.columns))
+    one = rows.where(F.col(n) > 1).groupBy(root).agg(F.min_by(whole, mixed).alias("kept"))
+    return single.unionByName(one.select("kept.*"))
+
+
+def _fresh(name: str, used: list[str]) -> str:
+    while name in used:
+        name += "_"
+    return name

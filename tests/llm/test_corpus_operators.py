@@ -217,6 +217,18 @@ def test_simhash(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_one_row_per_component(spark):
+    a, b, c, d, e = (cases.prose(600 + i, 80) for i in range(5))
+    near = lambda x: x + " "  # noqa: E731  the same fingerprint
+    docs = cases.documents(spark).where("false")
+    rows = [(None, a), (None, near(a)), (None, b), (None, b), (None, c), (7, d), (7, d), (7, near(d)), (7, e), (3, near(e)), (9, c), (8, cases.prose(700, 80)), (8, cases.prose(701, 80))]
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"), allowMissingColumns=True)
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"].strip()) for r in kept.collect()), key=str)
+    assert found == sorted([(None, a), (None, b), (9, c), (7, d), (3, e.strip()), (8, cases.prose(700, 80)), (8, cases.prose(701, 80))], key=str)
+
+
 def test_suffix_order():
     r = random.Random(9)
     for it in range(400):
