@@ -7,9 +7,9 @@ text. Extreme-value calibration: the largest segment score of label-0 documents
 grows with the logarithm of the length, and a logistic curve turns the excess over it, and what all significant segments
 add, into a probability.
 
-Word counts cover all labelled training rows. The word table keeps the `max_words` strongest words (a bound of the
-broadcast), and the few parameters of the
-calibration are fitted on at most `max_train` labelled documents.
+Word counts cover all labelled training rows. The word table keeps every word that counts; it is broadcast up to
+`broadcast_words` words, beyond that the words of texts are joined to it by a shuffle and each text brings its own
+part of the table. The few parameters of the calibration are fitted on at most `max_train` labelled documents.
 
 Nulls: a null text counts as empty; a null doc_id stays null; null labels are left out. Empty texts have no segment and
 get the calibrated score of no evidence. Repeated rows are scored one by one. Only doc_id and text are read. With labels
@@ -19,10 +19,11 @@ of one class or none, the score is the smoothed share of label 1.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,11 +91,41 @@ class Model:
     spread: float  # log K
     weights: tuple[float, float, float]
     base: float | None = None
+    table: DataFrame | None = None  # word and value, if they are too many to broadcast
 
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
+    def shared(self, docs: DataFrame) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast(replace(self, table=None))
+
+    def prepared(self, docs: DataFrame) -> DataFrame:
+        """`docs`, with the part of the table that occurs in each text if the table is not broadcast."""
+        if self.table is None:
+            return docs
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, texts in common.slices(batch):
+                    t, kinds = words(texts)
+                    key, at = np.unique(np.concatenate([h for h, _ in kinds]), return_inverse=True)
+                    once = np.unique(t.doc[np.concatenate([w for _, w in kinds])] * len(key) + at)
+                    doc = part.column(1).to_numpy()[once // max(len(key), 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.view(np.int64)[once % max(len(key), 1)])], ["text_hash", "word"])
+
+        found = docs.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(pairs, "text_hash bigint, word bigint").distinct()
+        found = found.join(self.table, "word").groupBy("text_hash").agg(F.collect_list(F.struct("word", "value")).alias("hits"))
+        found = found.select("text_hash", F.col("hits.word").alias("hit_words"), F.col("hits.value").alias("hit_values"))
+        return docs.join(found, F.xxhash64(docs["text"]) == found["text_hash"], "left").drop("text_hash")
+
+    def of(self, part: pa.RecordBatch) -> Model:
+        """The model with all words of the table that occur in this part."""
+        if "hit_words" not in part.schema.names:
+            return self
+        keys, first = np.unique(part.column("hit_words").flatten().to_numpy().view(np.uint64), return_index=True)
+        return replace(self, keys=keys, values=part.column("hit_values").flatten().to_numpy()[first]) if len(keys) else self
+
     def scores(self, n: int, kinds: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Of each word: the largest log-odds of the word and its stems or, if none is positive, the least; less the cost."""
         high, low = np.zeros(n), np.zeros(n)
@@ -138,8 +169,9 @@ class ToxicPassages:
     deviations: float = 5.0
     least_docs: int = 4
     cost: float = 0.4
-    max_words: int = 20_000
     max_train: int = 6000
+    #: Words up to this number are broadcast to the documents; more are joined by a shuffle.
+    broadcast_words: int = 1_000_000
     #: Labels up to this number of rows are broadcast to the documents; more are joined by a shuffle.
     broadcast_rows: int = 1_000_000
 
@@ -151,12 +183,23 @@ class ToxicPassages:
         if positive in (0, n):
             return Model(np.zeros(1, np.uint64), np.zeros(1), self.cost, 1.0, 0.0, (0.0, 0.0, 0.0), (positive + 1) / (n + 2))
         rows = docs.select("doc_id", "text").join(F.broadcast(chosen) if n <= self.broadcast_rows else chosen, "doc_id")
-        keys, values = self.log_odds(rows)
-        model = Model(keys, values, self.cost, 1.0, 0.0, (1.0, 0.0, 0.0))
+        table = self.log_odds(rows)
+        if table.count() > self.broadcast_words:
+            model = Model(np.zeros(1, np.uint64), np.zeros(1), self.cost, 1.0, 0.0, (1.0, 0.0, 0.0), table=table)
+        else:
+            model = Model(*self.collected(table), self.cost, 1.0, 0.0, (1.0, 0.0, 0.0))
+            common.discard(table)
         return self.calibrated(common.labelled_sample(docs, labels, label, self.max_train, keep), model)
 
-    def log_odds(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """The words whose log-odds stay beyond `deviations` standard errors, by hash, and what remains."""
+    @staticmethod
+    def collected(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = table.toArrow()
+        key, value = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+        order = np.argsort(key)
+        return (key[order], value[order]) if len(key) else (np.zeros(1, np.uint64), np.zeros(1))
+
+    def log_odds(self, rows: DataFrame) -> DataFrame:
+        """All words (by hash) whose toxic share lies beyond `deviations` standard errors, and their log-odds."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting: list[np.ndarray] = []  # hashes as a column, then four counts
@@ -194,22 +237,20 @@ class ToxicPassages:
         z = (F.col("bad_docs") - expected) / F.sqrt(expected * (1 - toxic / n))
         strong = table.withColumn("z", z).where((F.abs("z") >= self.deviations) & (F.greatest("bad_docs", F.col("docs") - F.col("bad_docs")) >= self.least_docs))
         strong = strong.withColumn("value", odds(a, F.lit(bad)) - odds(b, F.lit(total - bad)))
-        found = strong.orderBy(F.desc(F.abs("z")), "word").limit(self.max_words).select("word", "value").toArrow()
+        found = common.staged(strong.select("word", "value"), "toxic-strong")
         common.discard(table)
-        key, value = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
-        order = np.argsort(key)
-        return (key[order], value[order]) if len(key) else (np.zeros(1, np.uint64), np.zeros(1))
+        return found
 
     def calibrated(self, sample: DataFrame, model: Model) -> Model:
-        shared = sample.sparkSession.sparkContext.broadcast(model)
+        shared = model.shared(sample)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in common.slices(batch):
-                    _, found, n = shared.value.segments(texts)
+                    _, found, n = shared.value.of(part).segments(texts)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(n.astype(np.int64)), pa.array([[x for _, _, x in f] for f in found], pa.list_(pa.float64()))], ["doc_id", "label", "n", "found"])
 
-        rows = sample.mapInArrow(run, "doc_id bigint, label int, n bigint, found array<double>").toArrow().sort_by("doc_id")
+        rows = model.prepared(sample).mapInArrow(run, "doc_id bigint, label int, n bigint, found array<double>").toArrow().sort_by("doc_id")
         y, n = rows.column("label").to_numpy().astype(float), rows.column("n").to_numpy()
         found = [[(0, 0, x) for x in f] for f in rows.column("found").to_pylist()]
         best = np.array([max((x for _, _, x in f), default=0.0) for f in found])
@@ -232,27 +273,27 @@ class ToxicPassages:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, n_segments of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in common.slices(batch):
-                _, found, n = shared.value.segments(texts)
+                _, found, n = shared.value.of(part).segments(texts)
                 p = shared.value.probability(found, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(f) for f in found], pa.int64())], ["doc_id", "score", "predicted", "n_segments"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int, n_segments bigint")
+    return model.prepared(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, score double, predicted int, n_segments bigint")
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """Every maximal-scoring segment beyond the Gumbel location: doc_id, first and last byte, score, its text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for part, texts in common.slices(batch):
-                t, found, n = m.segments(texts)
+                t, found, n = m.of(part).segments(texts)
                 ids = part.column(0).to_pylist()
                 rows = []
                 for d, f in enumerate(found):
@@ -264,4 +305,4 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()), strict=True)], ["doc_id", "start", "end", "score", "passage"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start bigint, end bigint, score double, passage string")
+    return model.prepared(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, start bigint, end bigint, score double, passage string")

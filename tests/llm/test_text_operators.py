@@ -126,6 +126,22 @@ def test_toxicity(spark):
     assert toxicity.score(cases.empty(spark), model).count() == 0 and r
 
 
+def test_toxicity_keeps_every_word_that_counts(spark):
+    # 23,000 words that shun toxic texts outrank one that only six toxic texts have
+    shy = " ".join("q" + "".join("abcdefghij"[i // 10**k % 10] for k in range(5)) for i in range(23_000))
+    text = lambda i: f"nothing {'vilest ' * 6}here" if i < 48 and i % 8 == 0 else f"nothing {shy} here" if i % 2 else "nothing here"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(640)], "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(640)], "doc_id bigint, toxic int")
+    results = []
+    for options in ({}, {"broadcast_words": 5}):
+        model = toxicity.ToxicPassages(**options).fit(docs, labels)
+        found = toxicity.passages(docs, model).where("passage like '%vilest%'").select("doc_id").distinct().collect()
+        assert {r["doc_id"] for r in found} == {0, 8, 16, 24, 32, 40}
+        assert (model.table is not None) == bool(options)
+        results.append(sorted(map(tuple, toxicity.score(docs, model).collect())))
+    assert [r[0] for r in results[0]] == list(range(640)) and np.allclose(*([r[1] for r in x] for x in results))
+
+
 def test_hidden_markov(spark):
     docs = cases.documents(spark, [(1000 + i, ("ja nein doch " if i % 2 else "yes no maybe ") * 20) for i in range(60)])
     rows = hmm.HiddenMarkov(states=4, max_words=200, start_tokens=4000, rounds=2).score(docs, common.fold("doc_id", 5) == 1).collect()
