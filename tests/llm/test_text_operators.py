@@ -144,7 +144,7 @@ def test_toxicity_keeps_every_word_that_counts(spark):
 
 def test_hidden_markov(spark):
     docs = cases.documents(spark, [(1000 + i, ("ja nein doch " if i % 2 else "yes no maybe ") * 20) for i in range(60)])
-    rows = hmm.HiddenMarkov(states=4, max_words=200, start_tokens=4000, rounds=2).score(docs, common.fold("doc_id", 5) == 1).collect()
+    rows = hmm.HiddenMarkov(states=4, max_words=200, tails=3, rounds=6).score(docs, common.fold("doc_id", 5) == 1).collect()
     assert len(rows) == docs.count()
     fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 5
     tokens = [(r["doc_id"], [w.lower() for w in WORD.findall(r["text"] or "")] + [None]) for r in docs.collect()]
@@ -165,13 +165,13 @@ def test_forward_and_expectations_by_enumeration():
     rng = np.random.default_rng(0)
     k, classes = 3, 5
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-    m = hmm.Model(norm(rng.random((2, k))), norm(rng.random((k, k))), np.ascontiguousarray(norm(rng.random((k, classes))).T))
+    m = hmm.Model(norm(rng.random(k)), norm(rng.random((k, k))), np.ascontiguousarray(norm(rng.random((k, classes))).T))
     seqs = [rng.integers(0, classes, n) for n in (1, 4, 2, 5)]
     import itertools
 
     total, emit, step = [], np.zeros((k, classes)), np.zeros((k, k))
     for s in seqs:
-        paths = {p: m.start[0][p[0]] * math.prod(m.step[a][b] for a, b in itertools.pairwise(p)) * math.prod(m.emit[x][q] for x, q in zip(s, p, strict=True)) for p in itertools.product(range(k), repeat=len(s))}
+        paths = {p: m.start[p[0]] * math.prod(m.step[a][b] for a, b in itertools.pairwise(p)) * math.prod(m.emit[x][q] for x, q in zip(s, p, strict=True)) for p in itertools.product(range(k), repeat=len(s))}
         z = sum(paths.values())
         total.append(math.log10(z))
         for p, w in paths.items():
@@ -181,6 +181,56 @@ def test_forward_and_expectations_by_enumeration():
                 step[a, b] += w / z
     got = hmm.forward(m, np.concatenate(seqs), np.array([len(s) for s in seqs]))
     assert np.allclose(got, total)
-    e = hmm.Expected(m, 256)
+    e = hmm.Expected(m, most=6)
     e.add(seqs)
     assert np.allclose(e.emit, emit, atol=1e-4) and np.allclose(e.step, step, atol=1e-4) and abs(e.loss - sum(total)) < 1e-4
+
+
+def test_expectations_of_long_texts():
+    """Whole texts, longer than a batch holds, against a plain forward-backward recursion."""
+    rng = np.random.default_rng(1)
+    k, classes = 4, 9
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    m = hmm.Model(norm(rng.random(k)), norm(rng.random((k, k)) ** 4), np.ascontiguousarray(norm(rng.random((k, classes)) ** 3).T))
+    seqs = [rng.integers(0, classes, n) for n in (1500, 700, 3, 701)]
+    emit, step, start, loss = np.zeros((k, classes)), np.zeros((k, k)), np.zeros(k), 0.0
+    for s in seqs:
+        a, b, c = np.zeros((len(s), k)), np.ones((len(s), k)), np.zeros(len(s))
+        for t, x in enumerate(s):
+            a[t] = m.emit[x] * (a[t - 1] @ m.step if t else m.start)
+            c[t] = a[t].sum()
+            a[t] /= c[t]
+        for t in range(len(s) - 2, -1, -1):
+            b[t] = m.step @ (m.emit[s[t + 1]] * b[t + 1]) / c[t + 1]
+            step += np.outer(a[t], m.emit[s[t + 1]] * b[t + 1] / c[t + 1]) * m.step
+        for t, x in enumerate(s):
+            emit[:, x] += a[t] * b[t]
+        start += a[0] * b[0]
+        loss += np.log10(c).sum()
+    for most in (10**6, 800):
+        e = hmm.Expected(m, most)
+        e.add(seqs)
+        assert np.allclose(e.emit, emit, rtol=1e-3) and np.allclose(e.step, step, rtol=1e-3) and np.allclose(e.start, start, atol=1e-3)
+        assert e.n == sum(map(len, seqs)) and abs(e.loss - loss) < 1e-2
+
+
+def test_likelihood_rises_and_probabilities_add_up(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{(i * k) % (20 + i % 3)}" for k in range(60))) for i in range(90)], "doc_id bigint, text string").repartition(70)
+    h = hmm.HiddenMarkov(states=3, max_words=12, tails=2)
+    seen, orig = [], h.round
+
+    def round_(coded, model, base):
+        seen.append((orig(coded, model, base), base))
+        return seen[-1][0]
+
+    h.round = round_
+    # one-word documents with every word, seen or not, and the texts' ends
+    words = sorted({w for r in docs.collect() for w in r["text"].split()})
+    h.score(docs, F.lit(False)).count()
+    losses = [x[1] for x, _ in seen]
+    assert len(losses) > 2 and all(b > a - 1e-4 for a, b in zip(losses, losses[1:], strict=False))
+    (model, _), base = seen[-1]
+    assert abs(base.sum() - 1) < 1e-9 and np.allclose(model.emit.sum(axis=0), 1) and len(words) > 12
+    # a tie at the level that does not fit whole still leaves a vocabulary
+    ties = spark.createDataFrame([(bytes([97 + i // 26, 97 + i % 26]), 5) for i in range(300)], "word binary, n bigint")
+    assert 150 < len(hmm.HiddenMarkov(max_words=200)._top(ties)) <= 200
