@@ -5,7 +5,8 @@ file), n_tokens (with the end id), ids (list of int). `ids` is dictionary-encode
 groups and pages are of controlled size and Parquet's page index lets a reader fetch single documents or metadata alone.
 
 Nulls: a null text counts as empty (the end id alone); null doc_ids come first. Rows with equal doc_id are ordered by
-text, equal rows are written each. An empty table makes an empty folder of files. Only doc_id and text are read.
+the text's hash, then text, and may lie in several files; equal rows are written each. A text of any length is one list.
+An empty table makes an empty folder of files. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_group_mb:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(texts), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(sizes), lists], ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 start += int(offsets[-1])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    h = F.xxhash64("text")  # so that many rows of one doc_id, or of none, are no single range
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", h).sortWithinPartitions("doc_id", h, "text")
     options = {
         "compression": "zstd",
         "parquet.writer.version": "v2",

@@ -1,6 +1,7 @@
 """Encoding with a tokenizers file, fast for long texts: words are encoded once and then looked up.
 
-Special strings such as <|endoftext|> inside a text are ordinary text. Two kinds of file are split into independent
+The ids are those of the library's encode(text, add_special_tokens=False): special strings such as <|endoftext|> inside a
+text become their own ids, and texts that hold one are encoded whole. Two kinds of file are split into independent
 units first: byte-level BPE with the usual pattern, where a space belongs to the word behind it, and lower-casing BPE
 that drops white space. Every other file is handed whole texts. The cache starts anew beyond `most` entries, and
 the one before it is asked first.
@@ -15,9 +16,9 @@ import re
 
 import numpy as np
 import regex
+from public_tokenizers import PATTERN as SPACED_PATTERN
 
-# The pre-tokenizer patterns of the two kinds of file, and the characters that they call white space.
-SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The pre-tokenizer pattern of plain files, and the characters that both kinds call white space.
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -43,7 +44,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.most = most
         #: By chunk. In spaced files a chunk stands behind a space, or is marked with a leading NUL if it does not.
@@ -53,6 +53,7 @@ class Encoder:
             self.tokenizer.model._resize_cache(0)
         with open(path) as f:
             kind = json.load(f)
+        self.special = [x["content"].encode().lower() for x in kind["added_tokens"]]
         before, norm = kind["pre_tokenizer"] or {}, kind["normalizer"]
         self.kind = "whole"
         if norm is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
@@ -88,15 +89,18 @@ class Encoder:
         if self.kind == "whole":
             return self._whole(decoded)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        special = (_ODD if self.kind == "spaced" else _ODD_PLAIN)[np.frombuffer(b"".join(texts), np.uint8)]
-        odd = np.concatenate([[0], np.cumsum(special)])
+        joined = b"".join(texts)
+        odd = np.concatenate([[0], np.cumsum((_ODD if self.kind == "spaced" else _ODD_PLAIN)[np.frombuffer(joined, np.uint8)])])
         ends = np.cumsum(sizes)
         odd = (odd[ends] > odd[ends - sizes]).tolist()
         split = self._split_spaced if self.kind == "spaced" else self._split_plain
-        marked = [i for i, (x, o) in enumerate(zip(decoded, odd, strict=True)) if o and "\0" in x]  # NUL marks chunks
-        chunks = [split(x, o) for x, o in zip(decoded, odd, strict=True)]
-        for i in marked:
-            chunks[i] = []
+        lowered = joined.lower()  # special strings may be found in lowered text; to look for more than there are does no harm
+        special = [x for x in self.special if x in lowered]
+        del joined, lowered
+        # NUL marks chunks
+        marked = [i for i, (x, o) in enumerate(zip(decoded, odd, strict=True)) if (o and "\0" in x) or (special and any(y in texts[i].lower() for y in special))]
+        alone = set(marked)
+        chunks = [[] if i in alone else split(x, o) for i, (x, o) in enumerate(zip(decoded, odd, strict=True))]
         missing = set().union(*chunks).difference(self.known)
         if self.old:
             again = {x: self.old[x] for x in missing if x in self.old}
