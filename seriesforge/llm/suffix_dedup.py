@@ -9,12 +9,14 @@ occurs elsewhere can hold a repeated window:
 2. First segments whose anchors occur in different segments fetch their texts and are dealt out by anchor into shards.
    External induced sorting orders a shard's suffixes with their common prefixes; of windows that agree in all
    bytes, all but the first are removed. Anchors with more than `crowd` different segments are dealt out by longer common
-   parts of their windows.
+   parts of their windows, and if more than `crowd` segments share one of these, too, each window goes by its own bytes.
+   So no task holds more of one anchor than `crowd` segments at a time.
 3. Removed spans are merged for each document.
 
 Order: smaller doc_id first (null last), then earlier start. Rows with equal doc_id and equal text are one document, with
-equal doc_id the text's hash decides. Nulls: a null text is empty. Texts shorter than `width` stay whole. An empty table
-gives no rows. Only doc_id and text are read by spans(); without_repeats() keeps all columns as they are but the text.
+equal doc_id the text's hash decides. Nulls: a null text is empty. Texts shorter than `width` stay whole, long ones are
+read in pieces of PIECE bytes. `width` is from GRAM to 255. An empty table gives no rows. Segments' equality and anchors go
+by 63 and 64 bits of hash. Only doc_id and text are read by spans(); without_repeats() keeps all columns as they are but the text.
 """
 
 from __future__ import annotations
@@ -34,11 +36,39 @@ from .textstats import mix, prefix_hash, span_hash
 GRAM = 24
 #: Symbols of a shard; one anchor's segments may exceed it, its queues then go to a scratch file.
 SHARD = 8 << 20
+PIECE = 4 << 20  # bytes of text whose anchors are found at once
+KEPT_BITS = 40  # of a hash, to be compared when anchors are chosen; the other 24 are for places in a piece
+BROADCAST_KEYS = 1_000_000  # longs
 PARTS = 10  # windows of a crowded anchor are dealt out by their distance from it, so many distances at once
 
 
-def segments(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """Of all texts: anchor hash, segment hash, text number, first window, anchor - first window, windows - 1."""
+def segments(texts: list[bytes], width: int, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Of all texts: anchor hash, segment hash, text number, first window, anchor - first window, windows - 1.
+
+    Texts are taken together up to `piece` bytes, a longer one in overlapping pieces, which may cut a segment in two.
+    """
+    out, some, size = [], [], 0
+
+    def flush() -> None:
+        if some:
+            h, c, at, first, ahead, more = _segments([texts[k][a:b] for k, a, b in some], width)
+            number, offset = (np.array(x, np.int64) for x in ([k for k, _, _ in some], [a for _, a, _ in some]))
+            out.append((h, c, number[at], first + offset[at], ahead, more))
+            some.clear()
+
+    for k, text in enumerate(texts):
+        for a in range(0, max(len(text) - width + 1, 0), piece):
+            b = min(a + piece + width - 1, len(text))
+            if size + b - a > piece + width:
+                flush()
+                size = 0
+            some.append((k, a, b))
+            size += b - a
+    flush()
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
+
+
+def _segments(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     n, span = len(buffer), width - GRAM + 1
@@ -47,7 +77,7 @@ def segments(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     prefix = prefix_hash(buffer)
     start = np.arange(n - GRAM + 1)
     gram = span_hash(prefix, start, start + GRAM)
-    bits = np.uint64(max(int(n - 1).bit_length(), 1))
+    bits = np.uint64(64 - KEPT_BITS)
     low = gram >> bits << bits | start.astype(np.uint64)  # the leftmost of equal ones is least
     step = 1
     while 2 * step <= span:
@@ -116,41 +146,61 @@ def _rows(columns: tuple[np.ndarray, ...], names: tuple[str, ...] = ("h", "c", "
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + most]) for x in columns], list(names))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that end where the first column's value does."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Batches that end where the first column's value does or, of a value with over `most` rows, inside it (True)."""
     held: list[pa.RecordBatch] = []
+
+    def out(cut: bool) -> Iterator[tuple[pa.RecordBatch, bool]]:
+        for x in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield x, cut
+        held.clear()
+
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
         if held and held[0].column(0)[0].as_py() != key[-1] or key[0] != key[-1]:
             cut = int(np.searchsorted(key, key[-1]))
-            yield from pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
-            held = []
+            held.append(batch.slice(0, cut))
+            yield from out(False)
             batch = batch.slice(cut)
         held.append(batch)
+        if sum(x.num_rows for x in held) > most:
+            yield from out(True)
     if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from out(False)
+
 
+def _judged(batches: Iterator[pa.RecordBatch], width: int, crowd: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, c, oid, at): removed spans (h null, oid, start, end), and questions (h, oid, at, crowded).
 
-def _judged(batches: Iterator[pa.RecordBatch], width: int, crowd: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, c, oid, at): removed spans (h null, oid, start, end), and questions (h, oid, at, crowded)."""
-    for batch in _groups(batches):
+    An anchor with over `most` rows is crowded from its first rows on, and all its first segments are questions.
+    """
+    last = None  # (h, c) where a batch ended inside an anchor
+    for batch, cut in _groups(batches, most):
         h, c, oid, at = (batch.column(k).to_numpy() for k in range(4))
+        large = np.zeros(len(h), bool)
+        if last is not None:
+            large |= h == last[0]
+        if cut:
+            large |= h == h[-1]
         spans = c < 0
         d, a, b = [oid[spans]], [at[spans]], [-1 - c[spans]]
-        h, c, oid, at = h[~spans], c[~spans], oid[~spans], at[~spans]
         fresh_h = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
         fresh = fresh_h | np.concatenate([[True], c[1:] != c[:-1]])[: len(h)]
-        again = ~fresh
+        if last is not None:
+            fresh[0] = last != (h[0], c[0])
+        last = (h[-1], c[-1]) if cut else None
+        again = ~fresh & ~spans
         first, more = at[again] >> 16, at[again] & 255
         d, a, b = _merged_by(*(np.concatenate(x) for x in ([*d, oid[again]], [*a, first], [*b, first + more + width])))
         for part in _rows((d, a, b), ("oid", "start", "end")):
             yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), *part.columns], ["h", "oid", "start", "end"])
+        fresh &= ~spans
         group = np.cumsum(fresh_h) - 1
         kinds = np.bincount(group[fresh], minlength=group[-1] + 1 if len(group) else 0)
-        ask = fresh & (kinds[group] > 1)
-        yield from _rows((h[ask], oid[ask], at[ask], (kinds[group[ask]] > crowd).astype(np.int64)), ("h", "oid", "start", "end"))
+        ask = fresh & ((kinds[group] > 1) | large)
+        yield from _rows((h[ask], oid[ask], at[ask], ((kinds[group[ask]] > crowd) | large[ask]).astype(np.int64)), ("h", "oid", "start", "end"))
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -212,7 +262,7 @@ def _sorted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         return _rows(spans, ("oid", "start", "end"))
 
     size = 0
-    for batch in _groups(batches):
+    for batch, _ in _groups(batches, most=1 << 62):  # `crowd` segments a key at most
         held.append(batch)
         size += batch.column(3).nbytes
         if size > SHARD:
@@ -236,16 +286,65 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rows.join(number, rows["doc_id"].eqNullSafe(number["d"]) & (rows["th"] == number["t"])).select("doc_id", "text", "oid"), False
 
 
+def _windows(batches: Iterator[pa.RecordBatch], width: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, oid, first, body): (oid, start, body) of the first of equal windows, and of others without body."""
+    first_of: dict[bytes, tuple[int, int]] = {}
+
+    def out(rows: list[tuple[int, int, bytes | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["oid", "start", "body"])
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            _, oid, first, body = (x.to_pylist() for x in batch.slice(k, 4096).columns)
+            later = []
+            for o, f, t in zip(oid, first, body, strict=True):
+                for i in range(len(t) - width + 1):
+                    window, at = t[i : i + width], (o, f + i)
+                    least = first_of.setdefault(window, at)
+                    if least != at:
+                        first_of[window] = min(least, at)
+                        later.append((*max(least, at), None))
+            yield out(later)
+            if len(first_of) > most:
+                yield out([(*at, window) for window, at in first_of.items()])
+                first_of = {}
+    yield out([(*at, window) for window, at in first_of.items()])
+
+
 def removed(rows: DataFrame, width: int, crowd: int) -> DataFrame:
     """Spans (oid, start, end) to be removed, perhaps overlapping, of documents (oid, text), one row for each oid."""
+    if not GRAM <= width < 256:
+        raise ValueError(f"width must be from {GRAM} to 255")
     found = rows.select("oid", "text").mapInArrow(lambda b: _found(b, width), "h bigint, c bigint, oid bigint, at bigint")
     judged = found.repartition("h").sortWithinPartitions("h", "c", "oid", "at").mapInArrow(lambda b: _judged(b, width, crowd), "h bigint, oid bigint, start bigint, end bigint")
     judged = common.staged(judged, "judged")
-    asks = judged.where("h is not null").groupBy("oid").agg(F.collect_list(F.struct("h", "start", "end")).alias("asks"))
-    texts = rows.select("oid", "text").join(asks, "oid").select("oid", "text", "asks")
-    fetched = texts.mapInArrow(lambda b: _fetched(b, width), "key bigint, oid bigint, first bigint, body binary")
-    sorted_ = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, width), "oid bigint, start bigint, end bigint")
-    return judged.where("h is null").select("oid", "start", "end").unionByName(sorted_)
+    asked = judged.where("h is not null")
+
+    def fetched(asks: DataFrame) -> DataFrame:
+        asks = asks.groupBy("oid").agg(F.collect_list(F.struct("h", "start", "end")).alias("asks"))
+        texts = rows.select("oid", "text").join(asks, "oid").select("oid", "text", "asks")
+        return texts.mapInArrow(lambda b: _fetched(b, width), "key bigint, oid bigint, first bigint, body binary")
+
+    def ordered(bodies: DataFrame) -> DataFrame:
+        return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, width), "oid bigint, start bigint, end bigint")
+
+    spans = judged.where("h is null").select("oid", "start", "end")
+    if asked.where("end = 1").isEmpty():
+        return spans.unionByName(ordered(fetched(asked)))
+    parts = common.staged(fetched(asked.where("end = 1")), "crowded-segments")
+    hot = common.staged(parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
+    number = hot.count()
+    hot = F.broadcast(hot) if number <= BROADCAST_KEYS else hot
+    spans = spans.unionByName(ordered(fetched(asked.where("end = 0")).unionByName(parts.join(hot, "key", "left_anti"))))
+    if not number:
+        return spans
+    windows = parts.join(hot, "key", "left_semi").mapInArrow(lambda b: _windows(b, width), "oid bigint, start bigint, body binary")
+    windows = common.staged(windows, "crowded-windows")
+    candidates = windows.where("body is not null")
+    least = candidates.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("oid", "start")).alias("least")).where("n > 1").drop("n")
+    later = candidates.join(least, "body").where((F.col("oid") != F.col("least.oid")) | (F.col("start") != F.col("least.start")))
+    later = later.select("oid", "start").unionByName(windows.where("body is null").select("oid", "start"))
+    return spans.unionByName(later.select("oid", "start", (F.col("start") + width).alias("end")))
 
 
 def with_spans(docs: DataFrame, width: int, crowd: int) -> DataFrame:
