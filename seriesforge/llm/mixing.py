@@ -62,6 +62,11 @@ def rate(tilt: float, size: np.ndarray, cap: int) -> np.ndarray:
     return cap / (1.0 + (cap - 1) * np.exp(-np.clip(tilt * size, -FAR, FAR)))
 
 
+def rounded(tilt: float) -> float:
+    """To 12 digits: what the last ones are depends on the machine, and rates decide about copies."""
+    return float(f"{tilt:.11e}")
+
+
 def solved(size: np.ndarray, mass: np.ndarray, target: float, cap: int, tolerance: float = 1e-9) -> float:
     """The tilt at which rates times `mass` add up to `target`, by Newton steps inside a bracket.
 
@@ -75,7 +80,7 @@ def solved(size: np.ndarray, mass: np.ndarray, target: float, cap: int, toleranc
         return FAR
 
     def miss(t: float) -> float:
-        return float(mass @ rate(t, size, cap)) - target
+        return float((mass * rate(t, size, cap)).sum()) - target
 
     near = lambda gap: abs(gap) <= tolerance * target
     if near(whole - target):
@@ -90,11 +95,11 @@ def solved(size: np.ndarray, mass: np.ndarray, target: float, cap: int, toleranc
     t, width = (low + high) / 2, high - low
     for _ in range(200):
         w = rate(t, size, cap)
-        gap = float(mass @ w) - target
+        gap = float((mass * w).sum()) - target
         if near(gap):
-            return t
+            return rounded(t)
         low, high = (t, high) if gap < 0 else (low, t)
-        slope = float((mass * size) @ (w * (1 - w / cap)))
+        slope = float((mass * size * w * (1 - w / cap)).sum())
         step = t - gap / slope if slope > 0 else low
         halved, width = high - low <= width / 2, high - low
         t = step if halved and low < step < high else (low + high) / 2
