@@ -1,4 +1,11 @@
-"""Connected components of links between long ids, as DataFrames all the way."""
+"""Connected components of links between long ids, as DataFrames all the way.
+
+Ids with many links are split: links of an id are dealt out by the hash of their other end into `SALTS` parts, whose
+minima are combined and sent back to the parts, so no join brings all links of an id together.
+
+Nulls: links with a null end are left out. Repeated links and links of an id to itself are taken; an empty table gives no
+rows. Loops that do not end in `rounds` rounds raise an error, and they end only when a round leaves the same links.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+SALTS = 16
+
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur in links (a[i], b[i]), and the smallest id that each one reaches."""
@@ -50,30 +59,44 @@ def stars(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa
         yield out()
 
 
+def with_least(links: DataFrame) -> DataFrame:
+    """`links` (a, b) with m, the smallest b of all links of a."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    links = links.withColumn("salt", salt)
+    parts = links.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))  # SALTS rows an id at most
+    return links.join(least.select("a", F.explode("salts").alias("salt"), "m"), ["a", "salt"]).select("a", "b", "m")
+
+
 def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
     """id and root, the smallest id of its component, for every id in `links` (two long columns); links to itself count.
 
     Rounds of large and small stars: every id's larger neighbours link to the smallest one that it knows, then every id
-    and its smaller neighbours do. Each round ends in a written table; the loop ends when a round changes nothing.
+    and its smaller neighbours do. Each round ends in a written table.
     """
-    links = links.toDF("a", "b").where("a is not null and b is not null")
-    alone = links.where("a = b").select("a", "b")
-    now = common.staged(links.where("a <> b").mapInArrow(stars, "a bigint, b bigint").distinct(), "links")
-    seen = None
+    given = common.staged(links.toDF("a", "b").where("a is not null and b is not null"), "given-links")
+    now = common.staged(given.where("a <> b").mapInArrow(stars, "a bigint, b bigint").distinct(), "links")
+    mark = _mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         down = large.where("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        known = with_least(down)
+        small = known.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(known.where("b = m").select("a", "b"))
         following = common.staged(small.mapInArrow(stars, "a bigint, b bigint").distinct(), "links")
+        before, mark = mark, _mark(following)
+        done = mark == before and following.join(now, ["a", "b"], "left_anti").isEmpty()  # both are free of repeats
         common.discard(now)
         now = following
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-        if mark == seen:
+        if done:
             break
-        seen = mark
+    else:
+        raise ArithmeticError(f"components are not found after {rounds} rounds")
     linked = now.groupBy("a").agg(F.min("b").alias("b"))
-    nodes = linked.unionByName(now.select(F.col("b").alias("a"), "b")).unionByName(alone)
+    nodes = linked.unionByName(now.select(F.col("b").alias("a"), "b")).unionByName(given.where("a = b").select("a", "b"))
     return nodes.groupBy("a").agg(F.min("b").alias("b")).toDF("id", "root")
+
+
+def _mark(links: DataFrame) -> tuple:
+    wide = F.xxhash64("a", "b").cast("decimal(38, 0)")
+    return tuple(links.agg(F.count("*"), F.sum(wide)).first())

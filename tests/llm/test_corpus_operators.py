@@ -154,6 +154,22 @@ def test_components(spark):
     found = components.connected(spark.createDataFrame([*links, (None, 1)], "x bigint, y bigint").repartition(5))
     assert {x["id"]: x["root"] for x in found.collect()} == {x: find(x) for x in parent}
     assert components.connected(spark.createDataFrame([], "x bigint, y bigint")).count() == 0
+    with pytest.raises(ArithmeticError):
+        components.connected(spark.createDataFrame([(i, i + 1) for i in range(40)], "x bigint, y bigint").repartition(20), rounds=1)
+
+
+def test_hub_links_are_split(spark):
+    hub = spark.createDataFrame([(1, i) for i in range(2, 2000)], "a bigint, b bigint")
+    out = components.with_least(hub)
+    assert out.count() == 1998 and out.select("m").distinct().collect() == [(2,)]
+    plan = out._jdf.queryExecution().toString()
+    assert "Join Inner, ((a" in plan and "salt" in plan
+
+
+def test_blocks_follow_rows_and_tasks():
+    assert embedding_dedup.dealt(100, 6, 8192) == 1 and embedding_dedup.dealt(10_256, 6, 8192) == 7 and embedding_dedup.dealt(10**7, 6, 8192) == 1221
+    n = embedding_dedup.dealt(10**7, 4000, 8192)
+    assert n * (n + 1) // 2 >= 4 * 4000
 
 
 def test_golay_keys():
@@ -212,7 +228,7 @@ def test_simhash(spark):
     assert one == two and one
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted({str(least.get(find(int(p, 16)))) for _, p in prints})
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(least.get(c)) for c in {find(int(p, 16)) for _, p in prints})
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
@@ -262,7 +278,7 @@ def test_suffix_dedup(spark):
     docs = cases.documents(spark, extra).where("doc_id is null or doc_id <> 7").where("doc_id is not null or text is not null")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = removal(rows, 100)
-    for crowd in (4096, 2):
+    for crowd in (4096, 2, 0):
         got = suffix_dedup.spans(docs, 100, crowd).collect()
         assert sorted((tuple(r) for r in got), key=str) == sorted(((i, *want[i, t or ""][:4]) for i, t in rows), key=str)
     left = suffix_dedup.without_repeats(docs, 100)
@@ -275,6 +291,62 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.spans(cases.empty(spark)).count() == 0 == suffix_dedup.without_repeats(cases.empty(spark)).count()
 
 
+def test_segments_do_not_depend_on_slices():
+    r = random.Random(12)
+    texts = [bytes(r.choice(b"abcd") for _ in range(r.randint(0, 3000))) for _ in range(30)]
+    texts += [texts[3][50:900] * 3, b"x" * 2000]
+
+    def windows(piece, together):
+        anchors = {}
+        for i in range(0, len(texts), together):
+            h, _, doc, first, ahead, more = suffix_dedup.segments(texts[i : i + together], 100, piece)
+            for k in range(len(h)):
+                for j in range(more[k] + 1):
+                    assert anchors.setdefault((i + int(doc[k]), int(first[k]) + j), (int(h[k]), int(first[k] + ahead[k]))) == (int(h[k]), int(first[k] + ahead[k]))
+        return anchors
+
+    want = windows(1 << 20, 32)
+    assert want == windows(700, 32) == windows(1 << 20, 1) and len(want) == sum(max(0, len(t) - 99) for t in texts)
+
+
+def test_crowded_anchors(spark):
+    """A fixed string of 150 bytes, then fields that vary, some of them twice; batches end inside anchors."""
+    fixed = cases.prose(5, 40)[:150]
+    rows = [(i, cases.prose(3000 + i, 15) + fixed + f"{i // 2 if i % 10 == 0 else i:08d}" * 3 + cases.prose(6000 + i, 15)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = removal(rows, 100)
+    for crowd in (4096, 50):
+        got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.spans(docs, 100, crowd).collect()}
+        assert got == {(i, *want[i, t][:4]) for i, t in rows}
+    with pytest.raises(ValueError):
+        suffix_dedup.spans(docs, 20)
+
+
+def test_judgements_of_cut_anchors():
+    import pyarrow as pa
+
+    r = random.Random(13)
+    rows = sorted((h, c, r.randint(0, 50), r.randint(0, 99) << 16 | 3 << 8 | 5) for h in range(6) for c in range(1, r.choice([2, 9, 60])) for _ in range(r.randint(1, 4)))
+    names = ["h", "c", "oid", "at"]
+
+    def judge(size, most):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size], strict=True)], names) for i in range(0, len(rows), size)]
+        asks, marks = set(), set()
+        for b in suffix_dedup._judged(iter(batches), 100, 5, most):
+            for h, oid, start, end in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if h is None:
+                    marks |= {(oid, k) for k in range(start, end)}
+                else:
+                    asks.add((h, oid, start, end))
+        return asks, marks
+
+    asks, marks = judge(10**6, 10**6)
+    for size in (7, 25):
+        some, same = judge(size, 20)
+        assert same == marks and {x[:3] for x in asks} <= {x[:3] for x in some}
+        assert all(len({x[3] for x in some if x[0] == h}) <= 1 for h in range(6))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 16))
