@@ -4,10 +4,12 @@ Equal vectors form a class, and one row of each class is compared. A normalised
 int8 q, and its quantisation error e = |u - scale * q| is known exactly. For two vectors the product of the quantised
 ones differs from the cosine by at most e1 + (1 + e1) * e2. Pairs whose bound clears the threshold are linked, pairs
 whose bound stays below are not, the others are computed in double precision. The products run as float32 matrix products of
-whole numbers below 2**24, which are exact. Classes are dealt into blocks by hash; every pair of blocks is one group with at most
-two blocks of rows, which returns each row's number of links and its local component, never the pairs.
+whole numbers below 2**24, which are exact. Classes are dealt into blocks by hash, of at most `block` rows and so many
+that the pairs of blocks are several times the cluster's tasks; every pair of blocks is one group with at most two
+blocks of rows, which returns each row's number of links and its local component, never the pairs. Each vector travels
+once for every block, in the table's own type.
 
-Nulls: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
+Vectors may be of any length, all of one block in memory. Nulls: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
 component. Vectors of different length never link. Rows that repeat a vec_id are vectors of their own; with equal
 vectors they link. A null vec_id is kept and is no component's smallest id unless it has no other. Empty tables give no
 rows. Further columns are not looked at.
@@ -59,12 +61,21 @@ def block_links(v: np.ndarray, weight: np.ndarray, split: int, threshold: float,
         a1 = min(a0 + tile, split)
         for b0 in range(a0 if within else split, len(v), tile):
             b1 = min(b0 + tile, len(v))
-            near = product(q[a0:a1], q[b0:b1]) * scale[a0:a1, None]
-            near *= scale[None, b0:b1]
-            slack = error[a0:a1, None] + (1 + error[a0:a1, None]) * error[None, b0:b1] + 1e-6
-            link = near - slack >= threshold
-            doubt = (near + slack >= threshold) & ~link
-            i, j = np.nonzero(doubt)
+            near = product(q[a0:a1], q[b0:b1])
+            near *= scale[None, b0:b1].astype(near.dtype)
+            # what the largest error of the columns leaves below the threshold is looked at no further; 1e-6 covers float32 scales
+            most = error[a0:a1] + (1 + error[a0:a1]) * error[b0:b1].max() + 1e-6
+            least = (threshold - most) / scale[a0:a1]
+            i, j = np.nonzero(near >= (least - 1e-6 * np.abs(least)).astype(near.dtype)[:, None])
+            if not len(i):
+                continue
+            x, y = a0 + i, b0 + j
+            slack = error[x] + (1 + error[x]) * error[y] + 1e-6
+            bound = near[i, j] * scale[x]
+            link = np.zeros(near.shape, bool)
+            link[i, j] = sure = bound - slack >= threshold
+            doubt = (bound + slack >= threshold) & ~sure
+            i, j = i[doubt], j[doubt]
             for k in range(0, len(i), 1 << 16):
                 x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
                 hit = cosines(v[a0 + x], v[b0 + y]) >= threshold
@@ -89,22 +100,29 @@ def block_links(v: np.ndarray, weight: np.ndarray, split: int, threshold: float,
     return count, label
 
 
+def dealt(rows: int, tasks: int, block: int, least: int = 256) -> int:
+    """Number of blocks: at most `block` rows in each and, unless they get fewer than `least`, four pairs of blocks a task."""
+    wanted = int(np.ceil(np.sqrt(8 * tasks)))
+    return max(1, -(-rows // block), min(wanted, rows // least))
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, block: int = 8192) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
+    narrow = dict(embeddings.dtypes)["embedding"] == "array<float>"
     vector = F.col("embedding").cast("array<double>")
     valid = vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0.0), F.lit(False))
     rows = embeddings.select("vec_id", vector.alias("embedding"), F.coalesce(valid, F.lit(False)).alias("valid"))
     one = rows.where("valid").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("m"))
     one = common.staged(one.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    blocks = max(1, -(-one.count() // block))
+    blocks = dealt(one.count(), embeddings.sparkSession.sparkContext.defaultParallelism, block)
     own = F.pmod(F.xxhash64("uid"), F.lit(blocks))
     pair = one.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    pair = pair.select(F.size("embedding").alias("dim"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "m", "embedding")
+    pair = pair.select(F.size("embedding").alias("dim"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "m", F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("embedding"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("own", "ascending"), ("uid", "ascending")]).combine_chunks()
         own, uid, m = (table.column(x).to_numpy() for x in ("own", "uid", "m"))
-        v = table.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
+        v = table.column("embedding").combine_chunks().flatten().to_numpy().astype(float).reshape(len(uid), -1)
         split = int(np.searchsorted(own, own[0], "right"))
         if split == len(uid) and table.column("i")[0].as_py() != table.column("j")[0].as_py():
             split = 0  # one of the two blocks has no vector of this length
