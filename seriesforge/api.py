@@ -17,13 +17,14 @@ from .functions.matchers import Matcher
 from .model import Grid, QueryError, Warnings, labels_map
 from .operators.select import Storage
 from .plans.compiler import compile_query
-from .plans.parser import Selector, duration_ms, parse
+from .plans.parser import Selector, duration_ms, parse, selectors
 
-_STATUS = {"bad_data": 400, "execution": 422, "resource_exhausted": 422, "not_found": 404, "timeout": 503}
+# Statuses and error types of the API.
+_STATUS = {"bad_request": 400, "resource_exhausted": 400, "unimplemented": 404, "timeout": 408, "canceled": 408, "internal": 500}
 
 
 def time_ms(text: str) -> int:
-    """Unix seconds or RFC 3339."""
+    """Unix seconds, or RFC 3339 with its zone."""
     try:
         value = float(text)
         if not math.isfinite(value):
@@ -32,7 +33,10 @@ def time_ms(text: str) -> int:
     except ValueError:
         pass
     try:
-        return round(datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp() * 1000)
+        value = datetime.fromisoformat(text.replace("Z", "+00:00"))
+        if value.tzinfo is None:
+            raise ValueError
+        return round(value.timestamp() * 1000)
     except ValueError:
         raise QueryError(f"cannot parse {text!r} to a valid timestamp") from None
 
@@ -115,7 +119,7 @@ class Api:
         except Exception as e:
             if over.is_set():
                 raise QueryError("query timed out in expression evaluation", "timeout") from e
-            raise QueryError(str(e).splitlines()[0] if str(e) else type(e).__name__, "execution") from e
+            raise QueryError(str(e).splitlines()[0] if str(e) else type(e).__name__, "internal") from e
         finally:
             timer.cancel()
             context.setLocalProperty("spark.jobGroup.id", None)
@@ -147,7 +151,7 @@ class Api:
             if not re.fullmatch(r"[a-zA-Z_]\w*", m[1]):
                 raise QueryError(f"invalid label name: {m[1]!r}")
             return sorted({r[0] for s in selectors or [[]] for r in self.storage.label_values(m[1], s, low, high, limit).collect()})[: limit or None]
-        raise QueryError(f"no route {path}", "not_found")
+        raise QueryError(f"no route {path}", "unimplemented")
 
     @staticmethod
     def selector(text: str) -> list[Matcher]:
@@ -158,6 +162,8 @@ class Api:
 
     def query(self, text: str, grid: Grid, instant: bool) -> dict:
         q = compile_query(self.storage, text, grid, self.subquery_step_ms)
+        if self.storage.hidden:  # series may be merged after external labels were set
+            any(self.storage.conflicts(m) for m in selectors(parse(text)))
         rows = q.ordered().select("step", "value", labels_map(q.labels).alias("metric"))
         if self.max_samples:
             rows = rows.limit(self.max_samples + 1)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import QueryError, label
+from .re2 import Pattern
 
 _PLAIN = re.compile(r"[^\\.+*?()\[\]{}^$|]*")
 _SET = re.compile(r"[^\\.+*?()\[\]{}^$]*")
-_REJECTED = re.compile(r"\\[1-9]|\\k<|\(\?(=|!|<=|<!|>)|[*+?}]\+")
+
+
+_compiled = lru_cache(1024)(Pattern)
 
 
 @dataclass(frozen=True)
@@ -28,18 +31,13 @@ class Matcher:
         if self.op not in ("=", "!=", "=~", "!~"):
             raise QueryError(f"unknown matcher type {self.op!r}")
         if self.op in ("=~", "!~"):
-            if _REJECTED.search(self.value):
-                raise QueryError(f"unsupported regular expression {self.value!r}")
-            try:
-                self._pattern()
-            except re.error as e:
-                raise QueryError(f"invalid regular expression {self.value!r}: {e}") from e
+            self._pattern()
 
-    def _pattern(self) -> re.Pattern[str]:
-        return re.compile(f"(?:{self.value})", re.DOTALL)
+    def _pattern(self) -> Pattern:
+        return _compiled(self.value)
 
     def matches(self, value: str) -> bool:
-        hit = value == self.value if self.op in ("=", "!=") else self._pattern().fullmatch(value) is not None
+        hit = value == self.value if self.op in ("=", "!=") else self._pattern().full_match(value)
         return hit != self.op.startswith("!")
 
     def literals(self) -> list[str] | None:
@@ -63,7 +61,7 @@ class Matcher:
                 return (hit | c.isNull() | (c == "")) if empty else hit
             miss = ~c.isin(full) if full else F.lit(True)
             return (c.isNotNull() & (c != "") & miss) if empty else c.isNull() | miss
-        hit = c.rlike(rf"\A(?s:{self.value})\z")
+        hit = c.rlike(self._pattern().anchored)
         head = _PLAIN.match(self.value).group()
         if head and self.value[len(head) :][:1] in ("*", "?", "{", "+"):
             head = head[:-1]

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 NAME = "__name__"
 PREFIX = "l_"
+#: Of samples whose ts_ms is computed: the stored timestamp without zone, which bounds of time can be pushed to.
+STORED_TIME = "at_ntz"
 DAY_MS = 86_400_000
 SLOT_MS = 8 * 3_600_000
 
 
 class QueryError(Exception):
-    """kind is one of bad_data, execution, resource_exhausted, not_found, timeout."""
+    """kind is one of bad_request, internal, resource_exhausted, unimplemented, timeout, canceled."""
 
-    def __init__(self, message: str, kind: str = "bad_data") -> None:
+    def __init__(self, message: str, kind: str = "bad_request") -> None:
         super().__init__(message)
         self.kind = kind
 
@@ -76,6 +78,11 @@ class Grid:
         return F.sequence(F.lit(self.start), F.lit(self.last), F.lit(self.step)).cast("array<bigint>")
 
 
+def ntz(ts_ms: int) -> Column:
+    """A constant timestamp without zone."""
+    return F.expr(f"timestampadd(MILLISECOND, {ts_ms}L, timestamp_ntz'1970-01-01 00:00:00')")
+
+
 def day_of(ts_ms: int) -> date:
     return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=ts_ms)).date()
 
@@ -108,9 +115,9 @@ def label(name: str) -> Column:
 
 
 def series_id(labels: list[str]) -> Column:
-    """Hash of a label set: absent labels do not count."""
-    present = F.array_compact(F.array(*(F.when(label(x).isNotNull(), F.concat(F.lit(x + "\x1f"), label(x))) for x in sorted(labels))))
-    return F.xxhash64(F.array_join(present, "\x1e"))
+    """Hash of a label set: absent labels do not count. Lengths stand before values, so none can imitate another label."""
+    present = F.array_compact(F.array(*(F.when(label(x).isNotNull(), F.concat(F.lit(x + "="), F.length(label(x)).cast("string"), F.lit(":"), label(x))) for x in sorted(labels))))
+    return F.xxhash64(F.array_join(present, ","))
 
 
 def labels_map(labels: list[str]) -> Column:

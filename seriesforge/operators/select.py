@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matchers import Matcher, predicate, split_constant
-from ..model import PREFIX, QueryError, Warnings, column, label, label_columns, series_id
+from ..model import PREFIX, STORED_TIME, QueryError, Warnings, column, label, label_columns, ntz, series_id
 
 
 @dataclass
 class Storage:
     """Samples (ts_ms, value, perhaps is_stale, and a column l_<label> per label; absent labels are null).
 
-    external: labels that every series gets; replica: labels dropped after that. row_quota: most series that a query may select, 0 for any number.
+    external: labels that every series gets; replica: labels dropped after that. row_quota: most series that a query may
+    select, 0 for any number. series_rows: label columns, mint and maxt of each series, from which metadata is answered
+    without samples; unique: no two samples have the same labels and time.
     """
 
     samples: DataFrame
@@ -23,6 +25,8 @@ class Storage:
     replica: tuple[str, ...] = ()
     row_quota: int = 0
     lookback_ms: int = 300_000
+    series_rows: DataFrame | None = None
+    unique: bool = False
     warnings: Warnings = field(default_factory=Warnings)
 
     @property
@@ -31,20 +35,37 @@ class Storage:
         own = [x for x in label_columns(self.samples.columns) if x not in self.external]
         return sorted({*own, *self.external} - set(self.replica))
 
-    def matching(self, matchers: list[Matcher], low: int | None = None, high: int | None = None) -> DataFrame:
-        """Stored samples of the series that match, between two times, stored labels as they are."""
+    @property
+    def hidden(self) -> list[str]:
+        """Stored labels that results do not show as they are: different series may become equal."""
+        return [x for x in label_columns(self.samples.columns) if x in self.external or x in self.replica]
+
+    def matching(self, matchers: list[Matcher], low: int | None = None, high: int | None = None, metadata: bool = False) -> DataFrame:
+        """Stored samples of the series that match, between two times, stored labels as they are.
+
+        metadata: rows that tell about series only; series whose first and last samples enclose the times count.
+        """
         left = split_constant(matchers, self.external)
         own = label_columns(self.samples.columns)
-        rows = self.samples
+        metadata = metadata and self.series_rows is not None
+        rows = self.series_rows if metadata else self.samples
         if left is None:
             return rows.where(F.lit(False))
         if low is not None:
-            rows = rows.where(F.col("ts_ms") >= low)
+            rows = rows.where(F.col("maxt" if metadata else "ts_ms") >= low)
         if high is not None:
-            rows = rows.where(F.col("ts_ms") <= high)
+            rows = rows.where(F.col("mint" if metadata else "ts_ms") <= high)
+        if STORED_TIME in rows.columns:
+            if low is not None:
+                rows = rows.where(F.col(STORED_TIME) >= ntz(low))
+            if high is not None:
+                rows = rows.where(F.col(STORED_TIME) < ntz(high + 1))
+            rows = rows.drop(STORED_TIME)
         rows = rows.where(predicate(left, own))
-        if self.row_quota and rows.select(series_id(own)).distinct().limit(self.row_quota + 1).count() > self.row_quota:
-            raise QueryError(f"select would fetch more than {self.row_quota} series", "resource_exhausted")
+        if self.row_quota and not metadata:
+            here = self.series_rows.where(predicate(left, own)) if self.series_rows is not None else rows
+            if here.select(series_id(own)).distinct().limit(self.row_quota + 1).count() > self.row_quota:
+                raise QueryError(f"select would fetch more than {self.row_quota} series", "resource_exhausted")
         return rows
 
     def mangled(self, rows: DataFrame) -> DataFrame:
@@ -53,28 +74,32 @@ class Storage:
             rows = rows.withColumn(column(name), F.lit(value))
         return rows.drop(*(column(x) for x in self.replica))
 
-    def select(self, matchers: list[Matcher], low: int | None = None, high: int | None = None) -> DataFrame:
-        """Samples as queries see them: one per series and time.
+    def shown(self, matchers: list[Matcher], low: int | None = None, high: int | None = None) -> DataFrame:
+        """Matching samples with the labels that queries see, not merged: ts_ms, value, is_stale, labels and `tie`.
 
-        Series that become equal are merged by sample; of several samples at one time that of the series with the
-        smallest stored labels counts, then the largest source order, then the smallest value.
+        Of several samples at one time that with the least `tie` counts: of the series with the smallest stored labels,
+        then the largest source order, then the smallest value.
         """
         rows = self.matching(matchers, low, high)
-        hidden = [x for x in label_columns(rows.columns) if x in self.external or x in self.replica]
-        names = self.labels
-        total = [F.col(f"`{column(x)}`").alias(f"old_{i}") for i, x in enumerate(hidden)]
         rest = [c for c in rows.columns if not c.startswith(PREFIX) and c not in ("ts_ms", "value", "is_stale")]
-        kept = rows.select("*", *total)
-        kept = self.mangled(kept)
+        tie = F.struct(*(label(x).alias(f"old_{i}") for i, x in enumerate(self.hidden)), *sorted(rest), F.isnan("value").alias("nan"), F.col("value").alias("least"))
         stale = F.col("is_stale") if "is_stale" in rows.columns else F.lit(False)
-        best = F.min(F.struct(*(f"old_{i}" for i in range(len(hidden))), *sorted(rest), F.isnan("value").alias("nan"), "value", stale.alias("is_stale"))).alias("best")
-        return kept.groupBy(*(label(x) for x in names), "ts_ms").agg(best).select("ts_ms", "best.value", "best.is_stale", *(label(x) for x in names))
+        return self.mangled(rows.withColumns({"tie": tie, "is_stale": stale})).select("ts_ms", "value", "is_stale", "tie", *(label(x) for x in self.labels))
+
+    def select(self, matchers: list[Matcher], low: int | None = None, high: int | None = None) -> DataFrame:
+        """Samples as queries see them: one per series and time; series that become equal are merged by sample."""
+        rows = self.shown(matchers, low, high)
+        keys = [label(x) for x in self.labels]
+        if self.unique and not self.hidden:
+            return rows.select("ts_ms", "value", "is_stale", *keys)
+        best = F.min(F.struct("tie", "value", "is_stale")).alias("best")
+        return rows.groupBy(*keys, "ts_ms").agg(best).select("ts_ms", "best.value", "best.is_stale", *keys)
 
     def series(self, *selectors: list[Matcher], low: int | None = None, high: int | None = None, limit: int = 0) -> DataFrame:
         """Distinct label sets of the series that match any selector, sorted; samples are read for their times only."""
         found = None
         for matchers in selectors:
-            rows = self.mangled(self.matching(matchers, low, high)).select(*(label(x) for x in self.labels))
+            rows = self.mangled(self.matching(matchers, low, high, metadata=True)).select(*(label(x) for x in self.labels))
             found = rows if found is None else found.unionByName(rows)
         out = found.distinct().orderBy(*(label(x).asc_nulls_first() for x in self.labels))
         return self.truncated(out, limit)
@@ -88,7 +113,7 @@ class Storage:
 
     def label_names(self, matchers: list[Matcher] | None = None, low: int | None = None, high: int | None = None, limit: int = 0) -> DataFrame:
         """name: labels that matching series have; external labels count if any series matches."""
-        rows = self.mangled(self.matching(matchers or [], low, high))
+        rows = self.mangled(self.matching(matchers or [], low, high, metadata=True))
         names = self.labels
         seen = rows.agg(F.count("*").alias("n"), *(F.max(label(x).isNotNull()).alias(f"h{i}") for i, x in enumerate(names)))
         each = F.array_compact(F.array(*(F.when((F.col("n") > 0) & F.col(f"h{i}"), F.lit(x)) for i, x in enumerate(names))))
@@ -96,7 +121,7 @@ class Storage:
 
     def label_values(self, name: str, matchers: list[Matcher] | None = None, low: int | None = None, high: int | None = None, limit: int = 0) -> DataFrame:
         """value: distinct values of a label, sorted; an external label's value replaces stored ones, with a warning."""
-        rows = self.matching(matchers or [], low, high)
+        rows = self.matching(matchers or [], low, high, metadata=True)
         spark = rows.sparkSession
         stored = name in label_columns(rows.columns)
         if name in self.replica or (not stored and name not in self.external):
@@ -111,16 +136,12 @@ class Storage:
 
     def conflicts(self, matchers: list[Matcher]) -> bool:
         """Do different stored series become equal? Adds a warning if so."""
-        rows = self.matching(matchers)
+        if not self.hidden:
+            return False
+        rows = self.matching(matchers, metadata=True)
         own = label_columns(rows.columns)
         pairs = self.mangled(rows.select("*", series_id(own).alias("stored"))).select("stored", series_id(self.labels).alias("shown")).distinct()
         hit = not pairs.groupBy("shown").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
         if hit:
             self.warnings.add("dropped series that are equal after external labels were set")
         return hit
-
-
-def latest(samples: DataFrame, labels: list[str]) -> DataFrame:
-    """Each series' last sample."""
-    w = Window.partitionBy(*(label(x) for x in labels)).orderBy(F.desc("ts_ms"))
-    return samples.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -26,11 +26,20 @@ def stepped(samples: DataFrame, grid: Grid, window: int) -> DataFrame:
 
 
 def instant(samples: DataFrame, labels: list[str], grid: Grid, lookback: int) -> DataFrame:
-    """step, value, sample_ts: each series' latest sample within the lookback; a stale marker ends a series."""
-    stale = F.col("is_stale") if "is_stale" in samples.columns else F.lit(False)
-    best = F.max_by(F.struct("value", "ts_ms", stale.alias("stale")), "ts_ms").alias("best")
-    rows = stepped(samples, grid, lookback).groupBy("step", *(label(x) for x in labels)).agg(best)
-    return rows.where("not best.stale").select("step", F.col("best.value").alias("value"), F.col("best.ts_ms").alias("sample_ts"), *(label(x) for x in labels))
+    """step, value, sample_ts: each series' latest sample within the lookback; a stale marker ends a series.
+
+    `samples` may hold several of one series and time; the one with the least `tie` counts, so one grouping merges
+    samples and looks them up.
+    """
+    keys = [label(x) for x in labels]
+    rows = stepped(samples, grid, lookback).groupBy("step", *keys)
+    if "tie" in samples.columns:
+        best = F.min(F.struct((-F.col("ts_ms")).alias("back"), "tie", "value", "is_stale")).alias("best")
+        found = rows.agg(best).where("not best.is_stale")
+        return found.select("step", F.col("best.value").alias("value"), (-F.col("best.back")).alias("sample_ts"), *keys)
+    # of unique samples plain maxima do, which are aggregated by hash
+    found = rows.agg(F.max_by("value", "ts_ms").alias("value"), F.max_by("is_stale", "ts_ms").alias("is_stale"), F.max("ts_ms").alias("sample_ts"))
+    return found.where("not is_stale").select("step", "value", "sample_ts", *keys)
 
 
 #: Functions that need each sample's predecessor within its series.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
+from ..functions.re2 import Pattern
 from ..model import NAME, Grid, QueryError, column, label
 from ..operators import windows
 from ..operators.select import Storage
@@ -118,7 +119,8 @@ class Compiler:
 
     def instant(self, e: Selector, grid: Grid) -> Vector:
         own, _ = self.pinned(e.at, e.offset, grid)
-        samples = self.storage.select(list(e.matchers), own.start - self.storage.lookback_ms + 1, own.last)
+        once = self.storage.unique and not self.storage.hidden
+        samples = (self.storage.select if once else self.storage.shown)(list(e.matchers), own.start - self.storage.lookback_ms + 1, own.last)
         rows = windows.instant(samples, self.storage.labels, own, self.storage.lookback_ms)
         return Vector(self.back(rows, e.at, e.offset, grid), self.storage.labels)
 
@@ -146,7 +148,7 @@ class Compiler:
             case "predict_linear" | "quantile_over_time":
                 m, s = (args[0], args[1]) if name == "predict_linear" else (args[1], args[0])
                 if not isinstance(s, (Number, Unary)):
-                    raise QueryError(f"{name} takes a number as its parameter", "execution")
+                    raise QueryError(f"{name} takes a number as its parameter", "bad_request")
                 number = s.value if isinstance(s, Number) else -s.expr.value
                 return self.ranged(m, grid, name, F.lit(number) if name == "predict_linear" else number)
             case "absent_over_time":
@@ -191,23 +193,23 @@ class Compiler:
 
     def set_label(self, v: Vector, target: str, value: Column) -> Vector:
         if not re.fullmatch(r"[a-zA-Z_]\w*", target):
-            raise QueryError(f"invalid destination label name: {target}", "execution")
+            raise QueryError(f"invalid destination label name: {target}", "bad_request")
         names = v.labels if target in v.labels else [*v.labels, target]
         return Vector(v.df.withColumn(column(target), value).select("step", "value", *(label(x) for x in names)), names)
 
     def label_replace(self, v: Vector, target: str, replacement: str, source: str, pattern: str) -> Vector:
-        anchored = rf"\A(?s:{pattern})\z"
-        groups = re.compile(pattern).groupindex
+        compiled = Pattern(pattern)
+        anchored = compiled.anchored
         found = label(source) if source in v.labels else F.lit(None).cast("string")
         text = F.coalesce(found, F.lit(""))
         parts, at = [], 0
         for m in re.finditer(r"\$(?:(\d+)|\{(\w+)\}|([A-Za-z_]\w*)|\$)", replacement):
             parts.append(F.lit(replacement[at : m.start()]))
             ref = m.group(1) or m.group(2) or m.group(3)
-            number = int(ref) if ref and ref.isdigit() else groups.get(ref, -1) if ref else None
+            number = int(ref) if ref and ref.isdigit() else compiled.groups.get(ref, -1) if ref else None
             if number is None:
                 parts.append(F.lit("$"))
-            elif 0 <= number <= re.compile(pattern).groups:
+            elif 0 <= number <= compiled.count:
                 parts.append(F.coalesce(F.regexp_extract(text, anchored, number), F.lit("")))
             at = m.end()
         new = F.concat(*parts, F.lit(replacement[at:]))
@@ -348,7 +350,7 @@ def compile_query(storage: Storage, text: str, grid: Grid, subquery_step: int =
     e = parse(text)
     compiler = Compiler(storage.samples.sparkSession, storage, grid, subquery_step)
     if isinstance(e, String):
-        raise QueryError("string results have no samples", "execution")
+        raise QueryError("string results have no samples", "bad_request")
     if kind(e) == "matrix":
         if not (isinstance(e, Selector) and grid.start == grid.last):
             raise QueryError("invalid expression type range vector for range query, must be scalar or instant vector")

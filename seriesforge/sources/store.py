@@ -1,23 +1,27 @@
 """The day-partitioned store: conversion, planning, discovery, retention, and reading it back.
 
-Layout under a root: samples/ and series/ partitioned by stream_hash and day, streams/ (external labels by hash) and
-blocks/ (one row per written day, appended last: the commit point). Days without a block row are not seen.
+Layout under a root: samples/ and series/ partitioned by write, stream_hash and day, streams/ (external labels by hash)
+and blocks/ (one row per written day, appended last: the commit point). A write never touches what others wrote: a later
+one for the same day reads the day, merges it with what is new and commits the result under its own name. So a write
+that fails, or is tried again, changes nothing that is seen, and equal samples that arrive twice are stored once.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import DAY_MS, Interval, QueryError, day_of, day_start, days, label, label_columns, series_id, slot
+from ..model import DAY_MS, SLOT_MS, Interval, QueryError, column, day_of, day_start, days, label, label_columns, series_id, slot
 from ..operators.select import Storage
 
-BLOCKS = "stream_hash bigint, day date, version int, mint bigint, maxt bigint, series bigint, samples bigint, sources array<string>, deletion_marked_at bigint"
+BLOCKS = "stream_hash bigint, day date, version int, mint bigint, maxt bigint, series bigint, samples bigint, sources array<string>, write string, deletion_marked_at bigint"
 STREAMS = "stream_hash bigint, external_labels string"
 
 
@@ -102,49 +106,78 @@ class Store:
             return self.spark.createDataFrame([], schema) if schema else None
         return self.spark.read.schema(schema).parquet(path) if schema else self.spark.read.option("mergeSchema", True).parquet(path)
 
+    def _history(self) -> DataFrame:
+        return self._read("blocks", BLOCKS + ", written bigint")
+
     def blocks(self) -> DataFrame:
         """Latest row of each block; a later row replaces an earlier one."""
-        rows = self._read("blocks", BLOCKS + ", written bigint")
-        best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("stream_hash", "day")]), "written").alias("b")
+        rows = self._history()
+        order = F.struct("written", F.coalesce("deletion_marked_at", F.lit(0)), F.coalesce("write", F.lit("")))
+        best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("stream_hash", "day")]), order).alias("b")
         return rows.groupBy("stream_hash", "day").agg(best).select("stream_hash", "day", "b.*").drop("written")
 
+    def _parts(self, name: str, rows: list) -> DataFrame:
+        """The stored rows of blocks: a predicate on partition columns only."""
+        by: dict[tuple[int, str], list[date]] = {}
+        for r in rows:
+            by.setdefault((r["stream_hash"], r["write"]), []).append(r["day"])
+        here = F.lit(False)
+        for (stream, write), found in sorted(by.items()):
+            here |= (F.col("stream_hash") == stream) & (F.col("write") == write) & F.col("day").isin(found)
+        return self._read(name).where(here)
+
     def streams(self) -> dict[int, dict[str, str]]:
         return {r[0]: json.loads(r[1]) for r in self._read("streams", STREAMS).distinct().collect()}
 
     def convert(self, samples: DataFrame, external: dict[str, str], sources: list[str], low: int | None = None, high: int | None = None, sort_labels: tuple[str, ...] = ("__name__",), series_per_file: int = 1_000_000) -> list[date]:
-        """Write the days of `samples` (in [low, high)) as blocks of one stream; equal series and times are merged."""
+        """Write the days of `samples` (in [low, high)) as blocks of one stream; equal series and times are merged.
+
+        Days that the stream has already are merged with what they hold.
+        """
         stream = stream_hash(self.spark, external)
         known = self.streams()
         if stream in known and known[stream] != external:
-            raise QueryError(f"stream {stream} has other external labels", "execution")
+            raise QueryError(f"stream {stream} has other external labels", "bad_request")
         if low is not None:
             samples = samples.where(F.col("ts_ms") >= low)
         if high is not None:
             samples = samples.where(F.col("ts_ms") < high)
+        for n in label_columns(samples.columns):  # absent and empty are one
+            samples = samples.withColumn(column(n), F.when(label(n) != "", label(n)))
+        there = [r for r in self.blocks().where((F.col("stream_hash") == stream) & F.col("deletion_marked_at").isNull()).collect()]
+        if there:
+            touched = {r["day"] for r in samples.select(day_column().alias("day")).distinct().collect()}
+            there = [r for r in there if r["day"] in touched]
+        if there:
+            old = self._joined(there).drop("stream_hash", "day", "series_id", "write")
+            new = samples.select("ts_ms", "value", *(["is_stale"] if "is_stale" in samples.columns else [F.lit(False).alias("is_stale")]), *(label(n) for n in label_columns(samples.columns)))
+            samples = old.unionByName(new, allowMissingColumns=True)
         names = label_columns(samples.columns)
-        for n in names:  # absent and empty are one
-            samples = samples.withColumn(f"l_{n}", F.when(label(n) != "", label(n)))
+        write = f"w{uuid.uuid4().hex}"
         merged = Storage(samples).select([])
-        rows = merged.withColumn("series_id", series_id(names)).withColumn("day", day_column()).withColumn("stream_hash", F.lit(stream)).withColumn("slot", slot(F.col("ts_ms"))).persist()
+        rows = merged.withColumn("series_id", series_id(names)).withColumn("day", day_column()).withColumn("stream_hash", F.lit(stream)).withColumn("write", F.lit(write)).withColumn("slot", slot(F.col("ts_ms"))).persist()
         order = [label(x) for x in sort_labels if x in names]
         counts = rows.groupBy("day").agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"), F.count("*").alias("samples"), F.countDistinct("series_id").alias("series")).collect()
         if not counts:
             rows.unpersist()
-            raise QueryError("no series to convert", "execution")
-        series = rows.select("stream_hash", "day", "series_id", *(label(x) for x in names)).distinct()
-        series.repartitionByRange("day", *order, "series_id").sortWithinPartitions("day", *order, "series_id").write.option("maxRecordsPerFile", series_per_file).option("parquet.bloom.filter.enabled#l___name__", "true").mode("append").partitionBy("stream_hash", "day").parquet(f"{self.root}/series")
-        values = rows.select("stream_hash", "day", "series_id", "slot", "ts_ms", "value", "is_stale")
-        values.repartitionByRange("day", "series_id").sortWithinPartitions("day", "series_id", "ts_ms").write.mode("append").partitionBy("stream_hash", "day").parquet(f"{self.root}/samples")
+            raise QueryError("no series to convert", "bad_request")
+        parts = ("write", "stream_hash", "day")
+        series = rows.groupBy(*parts, "series_id", *(label(x) for x in names)).agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"))
+        series.repartitionByRange("day", *order, "series_id").sortWithinPartitions("day", *order, "series_id").write.option("maxRecordsPerFile", series_per_file).option("parquet.bloom.filter.enabled#l___name__", "true").mode("append").partitionBy(*parts).parquet(f"{self.root}/series")
+        values = rows.select(*parts, "series_id", "slot", "ts_ms", "value", "is_stale")
+        values.repartitionByRange("day", "series_id").sortWithinPartitions("day", "series_id", "ts_ms").write.mode("append").partitionBy(*parts).parquet(f"{self.root}/samples")
         rows.unpersist()
         if stream not in known:
             self.spark.createDataFrame([(stream, json.dumps(external))], STREAMS).write.mode("append").parquet(f"{self.root}/streams")
-        self._append([(stream, r["day"], 2, r["mint"], r["maxt"], r["series"], r["samples"], sources, None) for r in counts])
+        before = {r["day"]: list(r["sources"] or []) for r in there}
+        self._append([(stream, r["day"], 2, r["mint"], r["maxt"], r["series"], r["samples"], sorted({*before.get(r["day"], []), *sources}), write, None) for r in counts])
         return sorted(r["day"] for r in counts)
 
     def _append(self, rows: list[tuple]) -> None:
-        schema = T._parse_datatype_string(BLOCKS)
-        now = F.expr("unix_micros(current_timestamp())")
-        self.spark.createDataFrame(rows, schema).coalesce(1).withColumn("written", now).write.mode("append").parquet(f"{self.root}/blocks")
+        """Later rows have larger numbers, even if the clock was set back."""
+        last = self._history().agg(F.max("written")).first()[0] or 0
+        now = max(time.time_ns() // 1000, last + 1)
+        self.spark.createDataFrame(rows, T._parse_datatype_string(BLOCKS)).coalesce(1).withColumn("written", F.lit(now).cast("bigint")).write.mode("append").parquet(f"{self.root}/blocks")
 
     def discover(self, hide: Interval | None = None) -> DataFrame:
         """Visible blocks: committed, of a known stream, not marked for deletion, not wholly inside `hide`."""
@@ -157,29 +190,50 @@ class Store:
         edge = day_of(now_ms - retention_ms)
         rows = self.blocks().where("deletion_marked_at is null").where(F.col("day") < F.lit(edge)).collect()
         if rows:
-            self._append([(*tuple(r)[:-1], now_ms) for r in rows])
+            names = [f.name for f in T._parse_datatype_string(BLOCKS)]
+            self._append([tuple(now_ms if n == "deletion_marked_at" else r[n] for n in names) for r in rows])
         return len(rows)
 
     def delete_marked(self, now_ms: int, delay_ms: int = 12 * 3_600_000) -> list[date]:
-        """Drop the partitions of blocks marked for `delay_ms`."""
-        gone = []
-        for r in self.blocks().where(F.col("deletion_marked_at") <= now_ms - delay_ms).collect():
-            for name in ("series", "samples"):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/stream_hash={r['stream_hash']}/day={r['day']}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-            gone.append(r["day"])
-        return sorted(gone)
-
-    def open(self, stream: int, low: int, high: int, **options) -> Storage:
-        """A stream's samples between two times, with its external labels; only days with a visible block are read."""
-        wanted = self.discover().where((F.col("stream_hash") == stream) & (F.col("mint") <= high) & (F.col("maxt") >= low))
-        found = [r["day"] for r in wanted.select("day").collect()]
-        here = (F.col("stream_hash") == stream) & F.col("day").isin(found)
-        series, values = self._read("series"), self._read("samples")
-        if series is None:
-            raise QueryError("the store is empty", "not_found")
-        rows = values.where(here & F.col("ts_ms").between(low, high)).drop("slot").join(series.where(here), ["stream_hash", "day", "series_id"])
-        return Storage(rows.drop("stream_hash", "day", "series_id"), external=self.streams().get(stream, {}), **options)
+        """Drop the data of blocks marked for `delay_ms`; days whose data went."""
+        rows = self.blocks().where(F.col("deletion_marked_at") <= now_ms - delay_ms).collect()
+        return sorted({r["day"] for r in rows if self._drop(r)})
+
+    def sweep(self, now_ms: int, delay_ms: int = 12 * 3_600_000) -> int:
+        """Drop the data of days that a later write replaced over `delay_ms` ago; returns how many."""
+        now = {(r["stream_hash"], r["day"]): r["write"] for r in self.blocks().collect()}
+        written = F.max("written").over(Window.partitionBy("stream_hash", "day"))
+        old = self._history().withColumn("last", written).where(F.col("last") <= (now_ms - delay_ms) * 1000).select("stream_hash", "day", "write").distinct().collect()
+        return sum(self._drop(r) for r in old if r["write"] != now[r["stream_hash"], r["day"]])
+
+    def _drop(self, row) -> bool:
+        found = False
+        for name in ("series", "samples"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/write={row['write']}/stream_hash={row['stream_hash']}/day={row['day']}")
+            found |= path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return found
+
+    def _joined(self, rows: list) -> DataFrame:
+        keys = ["write", "stream_hash", "day", "series_id"]
+        return self._parts("samples", rows).drop("slot").join(self._parts("series", rows).drop("mint", "maxt"), keys)
+
+    def open(self, stream: int, low: int, high: int, external: dict[str, str] | None = None, **options) -> Storage:
+        """A stream's samples between two times, with its external labels or those given instead.
+
+        Only days with a visible block, and their 8-hour slots that the times touch, are read; metadata comes from the
+        series alone. Stored samples are unique, so queries do not merge them again.
+        """
+        wanted = self.discover().where((F.col("stream_hash") == stream) & (F.col("mint") <= high) & (F.col("maxt") >= low)).collect()
+        if self._read("series") is None:
+            raise QueryError("the store is empty", "unimplemented")
+        keys = ["write", "stream_hash", "day", "series_id"]
+        series = self._parts("series", wanted)
+        values = self._parts("samples", wanted).where(F.col("ts_ms").between(low, high))
+        if day_start(day_of(low)) == day_start(day_of(high)):  # within a day, slots are a range
+            values = values.where(F.col("slot").between(low % DAY_MS // SLOT_MS, high % DAY_MS // SLOT_MS))
+        rows = values.drop("slot").join(series.drop("mint", "maxt"), keys).drop(*keys)
+        external = self.streams().get(stream, {}) if external is None else external
+        return Storage(rows, external=external, series_rows=series.drop(*keys), unique=True, **options)
 
     def info(self) -> DataFrame:
         """stream_hash, external_labels, mint, maxt of the visible blocks."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import NAME, column
+from ..model import NAME, STORED_TIME, column
 
 
 def epoch_ms(name: str) -> Column:
@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_value{event_type, user_id}."""
     return _table(spark, sf_dir, "events").select(
-        epoch_ms("ts").alias("ts_ms"), "value", F.lit("event_value").alias(column(NAME)), F.col("event_type").alias(column("event_type")), F.col("user_id").cast("string").alias(column("user_id")), "event_id"
+        epoch_ms("ts").alias("ts_ms"), F.col("ts").alias(STORED_TIME), "value", F.lit("event_value").alias(column(NAME)), F.col("event_type").alias(column("event_type")), F.col("user_id").cast("string").alias(column("user_id")), "event_id"
     )
 
 
@@ -32,12 +32,12 @@ def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_price{orderstatus, orderpriority}."""
     return _table(spark, sf_dir, "orders").select(
-        epoch_ms("o_orderdate").alias("ts_ms"), F.col("o_totalprice").alias("value"), F.lit("order_price").alias(column(NAME)), F.col("o_orderstatus").alias(column("orderstatus")), F.col("o_orderpriority").alias(column("orderpriority")), F.col("o_orderkey").alias("orderkey")
+        epoch_ms("o_orderdate").alias("ts_ms"), F.col("o_orderdate").alias(STORED_TIME), F.col("o_totalprice").alias("value"), F.lit("order_price").alias(column(NAME)), F.col("o_orderstatus").alias(column("orderstatus")), F.col("o_orderpriority").alias(column("orderpriority")), F.col("o_orderkey").alias("orderkey")
     )
 
 
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem_quantity{returnflag, linestatus}; several samples share a time."""
     return _table(spark, sf_dir, "lineitem").select(
-        epoch_ms("l_shipdate").alias("ts_ms"), F.col("l_quantity").alias("value"), F.lit("lineitem_quantity").alias(column(NAME)), F.col("l_returnflag").alias(column("returnflag")), F.col("l_linestatus").alias(column("linestatus")), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber")
+        epoch_ms("l_shipdate").alias("ts_ms"), F.col("l_shipdate").alias(STORED_TIME), F.col("l_quantity").alias("value"), F.lit("lineitem_quantity").alias(column(NAME)), F.col("l_returnflag").alias(column("returnflag")), F.col("l_linestatus").alias(column("linestatus")), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber")
     )

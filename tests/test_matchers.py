@@ -43,8 +43,23 @@ def test_pushdown(spark, tmp_path):
     assert "Or(IsNull(l_A)" in plan(Matcher("A", "!=", "x"))
 
 
+RE2 = [
+    ("(?i)ABC", ["abc", "ABC", "aBc"], ["ab", "abcd"]), ("(?P<x>a+)(?<y>b)", ["aab", "ab"], ["a"]), ("a(?i)b|c", ["ab", "aB", "C", "c"], ["Ab"]), ("x(?:(?i)y|z)w", ["xYw", "xZw"], ["xyW"]),
+    (r"\Qa.b\E+", ["a.b", "a.bb"], ["axb"]), ("[[:alpha:]_]+[[:digit:]]", ["ab_1"], ["ab", "1"]), (r"a\sb", ["a b", "a\tb"], ["a\x0bb", "ab"]), ("a$", ["a"], ["a\n"]), (r"[]a[]+", ["]a["], ["b"]),
+    (r"\pL+", ["äb"], ["1"]), ("(?s-i:a.b)", ["a\nb"], ["A.b"]), (".*", ["", "a\nb"], []), (r"\++", ["++"], [""]),
+]
+
+
+@pytest.mark.parametrize(("pattern", "yes", "no"), RE2)
+def test_re2_syntax(spark, pattern, yes, no):
+    rows = [("1", "1", v) for v in [*yes, *no]]
+    assert found(spark, rows, ("C", "=~", pattern)) == list(range(len(yes)))
+    m = Matcher("C", "=~", pattern)
+    assert all(m.matches(v) for v in yes) and not any(m.matches(v) for v in no)
+
+
 def test_errors():
-    for op, value in (("~", "x"), ("=~", "(a"), ("=~", r"(a)\1"), ("=~", "(?=a)")):
+    for op, value in (("~", "x"), ("=~", "(a"), ("=~", "a)"), ("=~", r"(a)\1"), ("=~", "(?=a)"), ("=~", "a*+"), ("=~", "(?U)a"), ("=~", "[a"), ("=~", "(?P<x>a)(?P<x>b)")):
         with pytest.raises(QueryError):
             Matcher("a", op, value)
 

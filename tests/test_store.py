@@ -1,11 +1,14 @@
+import threading
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from seriesforge.functions.matchers import Matcher
-from seriesforge.model import DAY_MS, Grid, Interval, QueryError, days
+from seriesforge.model import DAY_MS, Grid, Interval, QueryError, days, series_id
 from seriesforge.plans.compiler import compile_query
 from seriesforge.sources.store import Source, Store, plan, stream_hash, vectored_ranges
+from seriesforge.sources.landing import Landed, convert_landed, eligible, streams
 from seriesforge.streaming import ingest
 
 from .load import samples
@@ -76,3 +79,101 @@ def test_streaming(spark, tmp_path):
     q = agg.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["start_ms"], r["n"]) for r in spark.table("daily").collect()) == [(0, 3), (DAY_MS, 3), (2 * DAY_MS, 3)]
+
+
+def land(spark, path, *lines):
+    samples(spark, "\n".join(lines), 8 * 3600).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def stream_of(spark, path):
+    schema = spark.read.parquet(str(path)).schema
+    return ingest.landing(spark, str(path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+
+
+def test_held_back_samples_wait(spark, tmp_path):
+    land(spark, tmp_path / "in", 'm{a="1"} 0+1x8')
+    store = Store(spark, str(tmp_path / "store"))
+
+    def run(before=None):
+        ingest.ingest(stream_of(spark, tmp_path / "in"), store, {}, str(tmp_path / "check"), before).awaitTermination(120)
+        return store.open(0, 0, 9 * DAY_MS).select([]).count()
+
+    assert run(day(1)) == 3 and ingest.pending(store).count() == 6
+    assert run(day(2)) == 6 and ingest.pending(store).count() == 3
+    assert run(day(2)) == 6
+    assert run() == 9 and store.discover().count() == 3
+
+
+def test_a_late_batch_is_merged(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    first, late = samples(spark, 'm{a="1"} 1', 1).withColumn("ts_ms", F.lit(1000).cast("bigint")), samples(spark, 'm{a="1",b="2"} 5\nm{a="1"} 3', 1).withColumn("ts_ms", F.lit(3000).cast("bigint"))
+    store.convert(first, {}, ["one"])
+    store.convert(late, {}, ["two"])
+    seen = lambda low, high: sorted((r["ts_ms"], r["value"], r["l_b"]) for r in store.open(0, low, high).select([]).collect())
+    assert seen(0, 2000) == [(1000, 1.0, None)]
+    want = [(1000, 1.0, None), (3000, 3.0, None), (3000, 5.0, "2")]
+    assert seen(0, 9000) == want
+    store.convert(late, {}, ["two"])  # tried again
+    assert seen(0, 9000) == want
+    block = store.blocks().first()
+    assert (block["mint"], block["maxt"], block["samples"], block["series"], block["sources"]) == (1000, 3000, 3, 2, ["one", "two"])
+    later = (block["written"] if "written" in block else 0) or 10**14
+    assert store.sweep(later) == 2 and store.sweep(later) == 0 and seen(0, 9000) == want
+
+
+def test_metadata_comes_from_series(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.convert(samples(spark, 'm{a="1",e="own"} 0+1x8\nn{a="2"} 1', 8 * 3600), {"e": "x"}, ["one"])
+    s = store.open(stream_hash(spark, {"e": "x"}), 0, 9 * DAY_MS)
+    assert "samples" not in "".join(s.series([]).inputFiles()) and "/series/" in "".join(s.series([]).inputFiles())
+    assert {r["l_e"] for r in s.series([]).collect()} == {"x"} and s.series([]).count() == 2
+    assert [r[0] for r in s.label_values("a", [Matcher("__name__", "=", "n")]).collect()] == ["2"]
+    assert s.series([], low=DAY_MS).count() == 1
+    # series that become equal, or values that are replaced, are told
+    assert s.conflicts([]) is False and s.label_values("e").first()[0] == "x" and s.warnings.messages
+    other = store.open(stream_hash(spark, {"e": "x"}), 0, 9 * DAY_MS, external={"e": "y", "z": "1"})
+    assert {(r["l_e"], r["l_z"]) for r in other.select([]).collect()} == {("y", "1")}
+    # without hidden labels stored samples are not merged again
+    own = store.open(stream_hash(spark, {"e": "x"}), 0, DAY_MS, external={})
+    assert "Aggregate" not in own.select([])._jdf.queryExecution().toString()
+    assert own.select([]).count() == 5 and store.open(stream_hash(spark, {"e": "x"}), 9 * 3_600_000, 20 * 3_600_000).select([]).count() == 1
+
+
+def test_series_ids_do_not_collide(spark):
+    rows = [("x\x1eb\x1fy", None), ("x", "y"), ("x,b=1:y", None)]
+    df = spark.createDataFrame(rows, "l_a string, l_b string").select(series_id(["a", "b"]).alias("i"))
+    assert df.distinct().count() == 3
+
+
+def test_landed_blocks(spark, tmp_path):
+    h = 3_600_000
+    found = [
+        Landed("a", 0, DAY_MS, {"e": "x"}), Landed("b", DAY_MS, 2 * DAY_MS, {"e": "x"}), Landed("c", 0, DAY_MS, {"e": "y"}), Landed("d", 0, DAY_MS, {"e": "x"}, resolution_ms=300_000),
+        Landed("e", 0, DAY_MS, {"e": "x"}, chunks=0), Landed("f", 0, DAY_MS, {"e": "x"}, marked=True), Landed("g", 0, DAY_MS, {"e": "x"}, complete=False), Landed("h", 0, DAY_MS, {"e": "x"}, uploaded_ms=99),
+    ]
+    assert [b.name for b in eligible(found, now_ms=100, min_age_ms=50)] == ["a", "b", "c"]
+    assert [b.name for b in eligible(found[:3], (Matcher("e", "=", "y"),))] == ["c"]
+    assert [(k, [b.name for b in v]) for k, v in streams(found[:3])] == [({"e": "x"}, ["a", "b"]), ({"e": "y"}, ["c"])]
+    store, loads = Store(spark, str(tmp_path)), []
+
+    def load(name):
+        loads.append(name)
+        start = {"a": 0, "b": 3, "c": 0}[name]
+        return samples(spark, 'm{a="1"} 0+1x2', 8 * 3600).withColumn("ts_ms", F.col("ts_ms") + start * 8 * h)
+
+    done = convert_landed(store, found[:3], load, day(9))
+    assert sorted(d for _, d in done) == [day(0), day(0), day(1)] and store.discover().count() == 3
+    assert convert_landed(store, found[:3], load, day(9)) == []
+
+
+def test_periodic_jobs(spark):
+    stop, runs = threading.Event(), []
+
+    def job():
+        runs.append(1)
+        if len(runs) == 3:
+            raise ValueError("done")
+
+    thread = ingest.periodically(job, 0.01, stop)
+    thread.join(10)
+    assert len(runs) == 3 and isinstance(thread.error, ValueError) and stop.is_set()
