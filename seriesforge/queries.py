@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.matchers import Matcher
-from .model import PREFIX, Grid, label, slot
+from .model import PREFIX, Grid, column, day_of, label, slot
 from .operators.select import Storage
-from .plans.compiler import compile_query
+from .plans.compiler import Query, compile_query
 from .sources import store, tables
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,18 @@ def _range(kind: str) -> str:
 
 _by_type = tables.events_by_type
 
+
+def _shown(q: Query) -> DataFrame:
+    return shown(q.df, q.labels)
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_value_bucket{event_type, user_id, le}: 1 in every bucket that holds the sample, 0 in the others."""
+    rows = tables.events(spark, sf_dir).withColumn(column("__name__"), F.lit("event_value_bucket"))
+    rows = rows.withColumn(column("le"), F.explode(F.array(*(F.lit(x) for x in ("10", "50", "100", "+Inf")))))
+    bound = F.when(label("le") == "+Inf", float("inf")).otherwise(label("le").try_cast("double"))
+    return rows.withColumn("value", (F.col("value") <= bound).cast("double"))
+
 QUERIES: dict[str, tuple[Builder, str]] = {
     "instant_selector": (query("event_value"), f"{_W} SELECT step, round(v, 8) AS value, 'event_value' AS name, event_type, user_id FROM iv"),
     "agg_sum_by": (query("sum by (event_type) (event_value)"), _agg("sum(v)")),
@@ -124,6 +136,21 @@ QUERIES: dict[str, tuple[Builder, str]] = {
     "functions_time": (query("timestamp(event_value_by_type) - time()", _by_type), f"{_W} SELECT step, round(t / 1000.0 - step / 1000.0, 8) AS value, event_type FROM bt"),
     "functions_calendar": (query("day_of_month() * 100 + month() + hour() + day_of_week()"), f"WITH {_G} SELECT step, CAST(extract(day FROM d) * 100 + extract(month FROM d) + extract(hour FROM d) + extract(dow FROM d) AS DOUBLE) AS value FROM (SELECT step, make_timestamp(step * 1000) AS d FROM g)"),
     "functions_scalar_vector": (query("scalar(sum(event_value)) + vector(1)"), f"{_W} SELECT g.step, round(coalesce(s, 'NaN'::DOUBLE) + 1, 8) AS value FROM g LEFT JOIN (SELECT step, sum(v) AS s FROM iv GROUP BY step) x ON x.step = g.step"),
+    "match_regex_flags": (query('sum by (event_type) (event_value{event_type=~"(?i)CLICK|V[[:alpha:]]+"})'), _agg("sum(v)").replace("FROM iv", "FROM iv WHERE regexp_full_match(event_type, 'click|v[a-z]+')")),
+    "match_external": (lambda spark, sf_dir: _shown(compile_query(Storage(tables.events(spark, sf_dir), external={"region": "eu"}, lookback_ms=LOOKBACK), 'sum by (region, event_type) (event_value{region=~"e.", event_type!="click"})', DAILY)), f"{_W} SELECT step, round(sum(v), 8) AS value, event_type, 'eu' AS region FROM iv WHERE event_type <> 'click' GROUP BY step, event_type"),
+    "over_time_present_stdvar": (query("present_over_time(event_value_by_type[1d]) + stdvar_over_time(event_value_by_type[1d])", _by_type), _over("1 + var_pop(value)")),
+    "over_time_absent": (query('absent_over_time(event_value{event_type="click", user_id="1"}[1d])'), f"{_W} SELECT step, 1.0::DOUBLE AS value, 'click' AS event_type, '1' AS user_id FROM g WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ts_ms > step - {DAY} AND ts_ms <= step AND event_type = 'click' AND user_id = '1')"),
+    "over_time_short_step": (query("sum_over_time(event_value_by_type[6h])", _by_type, Grid(START, START + 3 * DAY, HOUR // 4)), f"{_W}, q AS (SELECT UNNEST(generate_series({START}, {START + 3 * DAY}, {HOUR // 4})) AS step) SELECT step, round(sum(value), 8) AS value, event_type FROM ev JOIN q ON ts_ms > step - {6 * HOUR} AND ts_ms <= step GROUP BY step, event_type"),
+    "range_idelta": (query("idelta(event_value_by_type[1d])", _by_type), f"{_W}, {_PREV} SELECT step, round(v - pv, 8) AS value, event_type FROM (SELECT step, event_type, arg_max(value, ts_ms) AS v, arg_max(pv, ts_ms) AS pv, arg_max(pt, ts_ms) AS pt FROM p JOIN g ON ts_ms > step - {DAY} AND ts_ms <= step GROUP BY step, event_type) WHERE pt > step - {DAY}"),
+    "range_predict_linear": (query("predict_linear(event_value_by_type[1d], 3600)", _by_type), f"{_W} SELECT step, round(regr_intercept(value, (ts_ms - step) / 1000.0) + 3600 * regr_slope(value, (ts_ms - step) / 1000.0), 8) AS value, event_type {_DAYWIN} HAVING count(*) > 1"),
+    "functions_trigonometry": (query("sin(sum by (event_type) (event_value)) + atan(count by (event_type) (event_value)) * pi()"), _agg("sin(sum(v)) + atan(count(*)) * pi()")),
+    "histogram_quantile": (lambda spark, sf_dir: _shown(compile_query(Storage(_buckets(spark, sf_dir), lookback_ms=LOOKBACK), "histogram_quantile(0.9, sum by (event_type, le) (event_value_bucket))", DAILY)), f"""{_W}, b AS (SELECT step, event_type, bound, count(*) FILTER (v <= bound) AS c FROM iv, (VALUES (10.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE), ('Infinity'::DOUBLE)) x(bound) GROUP BY ALL),
+        r AS (SELECT *, lag(c) OVER w AS pc, lag(bound) OVER w AS pb, max(c) OVER (PARTITION BY step, event_type) AS total FROM b WINDOW w AS (PARTITION BY step, event_type ORDER BY bound))
+        SELECT step, round(arg_min(CASE WHEN isinf(bound) THEN pb ELSE coalesce(pb, 0) + (bound - coalesce(pb, 0)) * (0.9 * total - coalesce(pc, 0)) / nullif(c - coalesce(pc, 0), 0) END, bound), 8) AS value, event_type FROM r WHERE c >= 0.9 * total GROUP BY step, event_type"""),
+    "join_on": (query("sum by (event_type) (event_value) / on (event_type) count by (event_type) (event_value)"), _agg("sum(v) / count(*)")),
+    "join_ignoring_one_to_one": (query('sum without (user_id) (event_value{event_type="click"}) - ignoring (event_type) sum without (user_id) (event_value{event_type="view"})'), f"{_W}, s AS (SELECT step, event_type, sum(v) AS x FROM iv GROUP BY ALL) SELECT a.step, round(a.x - b.x, 8) AS value FROM s a JOIN s b ON a.step = b.step AND a.event_type = 'click' AND b.event_type = 'view'"),
+    "join_empty_key": (query("event_value_by_type - on () group_left () sum(event_value_by_type)", _by_type), f"{_W} SELECT step, round(v - sum(v) OVER (PARTITION BY step), 8) AS value, event_type FROM bt"),
+    "label_replace_named": (query('label_replace(sum by (event_type) (event_value), "kind", "${head}-x", "event_type", "(?P<head>..).*")'), f"{_W} SELECT step, round(sum(v), 8) AS value, event_type, substr(event_type, 1, 2) || '-x' AS kind FROM iv GROUP BY step, event_type"),
     "label_replace": (query('label_replace(sum by (event_type) (event_value), "kind", "$1-x", "event_type", "(..).*")'), f"{_W} SELECT step, round(sum(v), 8) AS value, event_type, substr(event_type, 1, 2) || '-x' AS kind FROM iv GROUP BY step, event_type"),
     "label_join": (query('label_join(sum by (event_type) (event_value), "both", "/", "event_type", "event_type")'), f"{_W} SELECT step, round(sum(v), 8) AS value, event_type, event_type || '/' || event_type AS both FROM iv GROUP BY step, event_type"),
 }
@@ -155,6 +182,38 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(q.df, q.labels)
 
 
+def late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two batches, the second one again, by event id: late days are merged, not replaced or doubled."""
+    s, rows = _store(spark), tables.events(spark, sf_dir)
+    for part in (0, 1, 1):
+        s.convert(rows.where(F.pmod("event_id", F.lit(2)) == part), {}, [f"part-{part}"])
+    opened = s.open(0, START - LOOKBACK, END, lookback_ms=LOOKBACK)
+    return _shown(compile_query(opened, "sum by (event_type) (event_value)", DAILY))
+
+
+def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of a stream, from the stored series alone."""
+    s = _store(spark)
+    s.convert(tables.events(spark, sf_dir), {"region": "eu"}, ["events"])
+    return _plain(s.open(store.stream_hash(spark, {"region": "eu"}), 0, 1 << 45).series([_NAME]))
+
+
+def stored_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times and external labels of the streams of a store."""
+    s = _store(spark)
+    s.convert(tables.events(spark, sf_dir), {"region": "eu"}, ["events"])
+    return s.info().select("external_labels", "mint", "maxt")
+
+
+def planned_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that are planned for conversion if the blocks of raw samples are the weeks of events and one day is done."""
+    days = tables.events(spark, sf_dir).agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    first, last = days[0] // (7 * DAY), days[1] // (7 * DAY)
+    sources = [store.Source(str(k), k * 7 * DAY, (k + 1) * 7 * DAY) for k in range(first, last + 1)]
+    rows = store.plan(sources, [day_of(START)], day_of(END))
+    return spark.createDataFrame([(d, len(need)) for d, need in rows], "day date, sources bigint")
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What discovery sees after a conversion: day, series, samples, mint, maxt."""
     s = _store(spark)
@@ -165,6 +224,12 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {
     "store_query": (stored, f"{_W} SELECT step, round(sum(v), 8) AS value, event_type, 'eu' AS region FROM iv GROUP BY step, event_type"),
     "store_blocks": (blocks, "SELECT CAST(ts AS DATE) AS day, count(DISTINCT (event_type, user_id)) AS series, count(DISTINCT (event_type, user_id, epoch_us(ts) // 1000)) AS samples, min(epoch_us(ts) // 1000) AS mint, max(epoch_us(ts) // 1000) AS maxt FROM events GROUP BY 1"),
+    "store_late_batch": (late_batch, _agg("sum(v)")),
+    "store_metadata": (stored_metadata, "SELECT DISTINCT 'event_value' AS name, event_type, CAST(user_id AS VARCHAR) AS user_id, 'eu' AS region FROM events WHERE event_type = 'click'"),
+    "store_info": (stored_info, """SELECT '{"region": "eu"}' AS external_labels, min(epoch_us(ts) // 1000) AS mint, max(epoch_us(ts) // 1000) AS maxt FROM events"""),
+    "store_plan": (planned_days, f"""WITH w AS (SELECT min(epoch_us(ts) // 1000) // {7 * DAY} AS a, max(epoch_us(ts) // 1000) // {7 * DAY} AS b FROM events)
+        SELECT CAST(make_timestamp(d * {DAY} * 1000) AS DATE) AS day, CAST(1 AS BIGINT) AS sources FROM (SELECT UNNEST(generate_series(a * 7, b * 7 + 6)) AS d FROM w) WHERE d * {DAY} < {END} AND d * {DAY} <> {START}"""),
+    "label_names_matched": (_meta(lambda s: s.label_names([Matcher("event_type", "=~", "c.+")])), "SELECT UNNEST(['__name__', 'event_type', 'user_id']) AS name"),
     "label_names": (_meta(lambda s: s.label_names()), "SELECT UNNEST(['__name__', 'event_type', 'user_id']) AS name"),
     "label_values": (_meta(lambda s: s.label_values("event_type")), "SELECT DISTINCT event_type AS value FROM events"),
     "label_values_matched": (_meta(lambda s: s.label_values("user_id", [_NAME])), "SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events WHERE event_type = 'click'"),
