@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matchers import Matcher, predicate, split_constant
-from ..model import PREFIX, STORED_TIME, QueryError, Warnings, column, label, label_columns, ntz, series_id
+from ..model import NAME, PREFIX, STORED_TIME, QueryError, Warnings, column, label, label_columns, ntz, series_id
 
 
 @dataclass
@@ -86,10 +86,15 @@ class Storage:
         stale = F.col("is_stale") if "is_stale" in rows.columns else F.lit(False)
         return self.mangled(rows.withColumns({"tie": tie, "is_stale": stale})).select("ts_ms", "value", "is_stale", "tie", *(label(x) for x in self.labels))
 
-    def select(self, matchers: list[Matcher], low: int | None = None, high: int | None = None) -> DataFrame:
-        """Samples as queries see them: one per series and time; series that become equal are merged by sample."""
+    def select(self, matchers: list[Matcher], low: int | None = None, high: int | None = None, by_series: bool = False) -> DataFrame:
+        """Samples as queries see them: one per series and time; series that become equal are merged by sample.
+
+        by_series: partitioned by series from the start, for what needs whole series next.
+        """
         rows = self.shown(matchers, low, high)
         keys = [label(x) for x in self.labels]
+        if by_series and (own := [label(x) for x in self.labels if x != NAME]):
+            rows = rows.repartition(*own)
         if self.unique and not self.hidden:
             return rows.select("ts_ms", "value", "is_stale", *keys)
         best = F.min(F.struct("tie", "value", "is_stale")).alias("best")

@@ -1,7 +1,9 @@
 """Evaluating samples on a time grid: instant lookback and range functions, without joins.
 
 A sample at ts serves the steps s with s - window < ts <= s (left-open, right-closed); exploding it to those steps
-gives one row per sample and step, which one grouping then reduces with map-side combination.
+gives one row per sample and step, which one grouping then reduces with map-side combination. Windows of many steps are
+not exploded: samples are summed up by step first, and every window is the end of one block of steps and the beginning
+of the next, whose running aggregates cost one row per series and step (see sliding()).
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee
-from ..model import Grid, label
+from ..model import NAME, Grid, label
 
 
 def stepped(samples: DataFrame, grid: Grid, window: int) -> DataFrame:
@@ -42,8 +44,57 @@ def instant(samples: DataFrame, labels: list[str], grid: Grid, lookback: int) ->
     return found.where("not is_stale").select("step", "value", "sample_ts", *keys)
 
 
+#: Windows of this many steps or more slide.
+MANY_STEPS = 16
+_SLIDING = {"sum_over_time", "count_over_time", "min_over_time", "max_over_time", "present_over_time", "last_over_time"}
+
+
+def sliding(samples: DataFrame, labels: list[str], grid: Grid, window: int, name: str) -> DataFrame:
+    """step, value: a function over windows of a whole number of steps, with one row per series and step.
+
+    b is the first step that a sample serves; windows hold n = window / step of them. With blocks of n steps, the window
+    that ends at k is what its block has up to k, and what the block before has from k - n + 1 on.
+    """
+    n, last = window // grid.step, (grid.last - grid.start) // grid.step
+    keys = [label(x) for x in labels]
+    v = F.col("value")
+    number = F.when(~F.isnan(v), v)
+    partial = {"sum_over_time": [F.sum(v)], "min_over_time": [F.min(number)], "max_over_time": [F.max(number)], "last_over_time": [F.max_by(v, "ts_ms")]}.get(name, [])
+    rows = samples.withColumn("b", F.ceil((F.col("ts_ms") - grid.start) / grid.step))
+    own = [label(x) for x in labels if x != NAME] or keys
+    rows = rows.repartition(*own) if own else rows  # one exchange; all that follows is within series
+    rows = rows.groupBy(*keys, "b").agg(F.count("*").alias("c"), *(x.alias("p") for x in partial))
+    p = F.col("p") if partial else F.lit(None).cast("double")
+    series = Window.partitionBy(*keys).orderBy("b")
+    # up to the next row but, in long gaps, where windows are empty, only n steps behind this row and before the next
+    # one; the first row has them before it, too
+    rows = rows.withColumns({"follows": F.lead("b").over(series), "from": F.when(F.lag("b").over(series).isNull(), F.col("b") - (n - 1)).otherwise(F.col("b"))})
+    follows = F.col("follows")
+    end, again = F.coalesce(follows - 1, F.lit(last)), F.greatest(F.col("b") + n, follows - (n - 1))
+    ks = F.concat(F.sequence("from", F.greatest("b", F.least(end, F.col("b") + (n - 1)))), F.when(follows.isNotNull() & (again <= end), F.sequence(again, end)).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.select("*", F.explode(ks).alias("k"))
+    here = F.col("k") == F.col("b")
+    rows = rows.select(*keys, "k", F.floor(F.col("k") / n).alias("block"), F.when(here, F.col("c")).otherwise(0).alias("c"), F.when(here, p).alias("p"))
+    before = Window.partitionBy(*keys, "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*keys, "block").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    merge = {"min_over_time": F.min, "max_over_time": F.max}.get(name, F.sum)
+    head = F.last("p", ignorenulls=True) if name == "last_over_time" else merge("p")
+    tail = F.first("p", ignorenulls=True) if name == "last_over_time" else merge("p")  # falling order: the first is the latest
+    rows = rows.withColumns({"hc": F.sum("c").over(before), "hp": head.over(before), "tc": F.sum("c").over(behind), "tp": tail.over(behind)})
+    # the row of step k - n + 1; there is none only if nothing stands in its block behind it
+    far = Window.partitionBy(*keys).orderBy("k").rangeBetween(-(n - 1), -(n - 1))
+    near = F.pmod(F.col("k") + 1, F.lit(n)) != 0  # else the window is the block itself
+    rows = rows.withColumns({"tc": F.when(near, F.max("tc").over(far)), "tp": F.when(near, F.max("tp").over(far))})
+    c = F.col("hc") + F.coalesce("tc", F.lit(0))
+    both = {
+        "sum_over_time": F.when(F.col("hp").isNull(), F.col("tp")).otherwise(F.col("hp") + F.coalesce("tp", F.lit(0.0))), "count_over_time": c.cast("double"), "present_over_time": F.lit(1.0),
+        "min_over_time": F.coalesce(F.least("hp", "tp"), F.lit(ieee.NAN)), "max_over_time": F.coalesce(F.greatest("hp", "tp"), F.lit(ieee.NAN)), "last_over_time": F.coalesce("hp", "tp"),
+    }[name]
+    return rows.where((c > 0) & F.col("k").between(0, last)).select((F.lit(grid.start) + F.col("k") * grid.step).alias("step"), both.alias("value"), *keys)
+
+
 #: Functions that need each sample's predecessor within its series.
-_WITH_PREVIOUS = {"rate", "increase", "delta", "irate", "idelta", "changes", "resets"}
+WITH_PREVIOUS = {"rate", "increase", "delta", "irate", "idelta", "changes", "resets"}
 
 
 def over_range(samples: DataFrame, labels: list[str], grid: Grid, window: int, name: str, parameter: Column | None = None) -> DataFrame:
@@ -52,7 +103,9 @@ def over_range(samples: DataFrame, labels: list[str], grid: Grid, window: int, n
     if "is_stale" in samples.columns:
         samples = samples.where("not is_stale")
     rows = samples.where((F.col("ts_ms") > grid.start - window) & (F.col("ts_ms") <= grid.last))
-    if name in _WITH_PREVIOUS:
+    if name in _SLIDING and window % grid.step == 0 and window // grid.step >= MANY_STEPS and grid.last > grid.start:
+        return sliding(rows, labels, grid, window, name)
+    if name in WITH_PREVIOUS:
         order = Window.partitionBy(*keys).orderBy("ts_ms")
         pv, v = F.lag("value").over(order), F.col("value")
         rows = rows.withColumn("pv", pv).withColumn("pt", F.lag("ts_ms").over(order))

@@ -127,7 +127,7 @@ class Compiler:
     def ranged(self, e: Selector | Subquery, grid: Grid, name: str, parameter: Column | None = None) -> Vector:
         own, _ = self.pinned(e.at, e.offset, grid)
         if isinstance(e, Selector):
-            samples, labels = self.storage.select(list(e.matchers), own.start - e.window + 1, own.last), self.storage.labels
+            samples, labels = self.storage.select(list(e.matchers), own.start - e.window + 1, own.last, by_series=name in windows.WITH_PREVIOUS), self.storage.labels
         else:
             step = e.step or self.subquery_step
             start = ((own.start - e.window) // step + 1) * step

@@ -1,11 +1,15 @@
 import math
+import random
 
 import pytest
 
 from seriesforge.model import Grid, QueryError
+from seriesforge.operators import windows
 from seriesforge.plans.compiler import compile_query
 from seriesforge.plans.parser import Aggregate, Binary, Number, Selector, Subquery, duration_ms, parse
 
+from seriesforge.operators.select import Storage
+
 from .load import storage
 
 HTTP = """
@@ -99,3 +103,33 @@ def test_big_averages_stay_finite(spark):
 def test_selectors_need_no_join(spark):
     plan = compile_query(storage(spark, HTTP), "sum by (job) (rate(http_requests[5m]))", Grid(0, 3_000_000, 60_000)).df._jdf.queryExecution().toString()
     assert "Join" not in plan and "Python" not in plan
+
+
+def test_sliding_windows(spark):
+    """Windows of many steps against the explosion to steps; gaps, NaN, one sample before the grid."""
+    r = random.Random(3)
+    rows = [(t, r.choice([1.0, -2.5, float("nan"), 7.25, float("inf")]) if k % 3 else float(t % 13), f"s{k % 4}", "m") for k, t in enumerate(sorted(r.sample(range(-3000, 90_000), 160)))]
+    rows = [x for x in rows if not (x[2] == "s1" and 20_000 < x[0] < 70_000)]
+    df = spark.createDataFrame(rows, "ts_ms bigint, value double, l_a string, l___name__ string")
+    for grid, window in ((Grid(0, 80_000, 500), 10_000), (Grid(700, 60_000, 1000), 16_000), (Grid(0, 9_000, 300), 9_000)):
+        for name in sorted(windows._SLIDING):
+            many, windows.MANY_STEPS = windows.MANY_STEPS, 1 << 30
+            try:
+                want = windows.over_range(df, ["__name__", "a"], grid, window, name)
+            finally:
+                windows.MANY_STEPS = many
+            got = windows.over_range(df, ["__name__", "a"], grid, window, name)
+            assert "Window" in got._jdf.queryExecution().toString() and "Window" not in want._jdf.queryExecution().toString()
+            shown = lambda d: sorted((x["step"], x["l_a"], str(round(x["value"], 6))) for x in d.collect())
+            assert shown(got) == shown(want), (name, grid)
+
+
+def test_exchanges(spark, tmp_path):
+    """sum by: one exchange for unique samples besides the final one; rates are partitioned by series once."""
+    spark.createDataFrame([(0, 1.0, "m", "x", "y")], "ts_ms bigint, value double, l___name__ string, l_a string, l_b string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda text, **o: compile_query(Storage(df, **o), text, Grid(0, 600_000, 60_000)).df._jdf.queryExecution().executedPlan().toString()
+    assert plan("sum by (a) (m)").count("Exchange") == 2
+    unique = plan("sum by (a) (m)", unique=True)
+    assert unique.count("Exchange") == 2 and "SortAggregate" not in unique
+    assert plan("rate(m[5m])").count("Exchange") == 1
