@@ -1,10 +1,11 @@
 """Quality rules by a hashed n-gram logistic regression, calibrated and scored in Arrow batches.
 
-Word unigrams and bigrams and byte n-grams (3 and 4 bytes) are hashed into one weight table; a text's features are the
-mean rates of its hashed n-grams, family by family. The regression is fitted on a bounded sample of labelled documents
-(`max_train`), its output is calibrated by a logistic curve on a part of the sample that the fit did not see, and a
-document is kept if its calibrated probability of label 1 reaches `threshold` and it passes the base rule: 20 words at
-least, and at most 30 % of its words in 8-word windows that the text repeats.
+Word unigrams and bigrams and character n-grams (3 and 4 code points) are hashed into one weight table; a text's features
+are the mean rates of its hashed n-grams, family by family. The regression is fitted on a bounded sample of labelled
+documents (`max_train`), in one task that takes the sample's features and returns the weights; its output is calibrated by
+a logistic curve on a part of the sample that the fit did not see, and a document is kept if its calibrated probability
+of label 1 reaches `threshold` and it passes the base rule: 20 words at least, and at most 30 % of its words in 8-word
+windows that the text repeats.
 
 Nulls: a null text counts as empty (base rule fails); a null doc_id is returned as null. Empty tables give no rows.
 Repeated rows are scored one by one. A text of any length is read whole. Other columns are ignored by score() and kept
@@ -36,17 +37,35 @@ def hashed(t: Texts, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     a, b = words[pairs], words[pairs + 1]
     pair = np.where(a == b, np.uint64(1), a * np.uint64(3) + mix(b))  # a word twice running is one pattern, whatever the word
     out.append((mix(pair + golden) >> down, t.doc[pairs]))
-    doc = np.repeat(np.arange(len(t)), t.last - t.first + 1)
-    gram = t.buffer.astype(np.uint64)
-    code = gram.copy()
+    letters, doc = characters(t)
+    code = letters * _ODD[0]
     for order in (2, 3, 4):
-        code = code[:-1] | (gram[order - 1 :] << np.uint64(8 * (order - 1)))
+        code = code[:-1] + letters[order - 1 :] * _ODD[order - 1]
         if order > 2:
             at = doc[: len(code)] == doc[order - 1 :]
-            out.append(((code[at] * golden + np.uint64(order)) * golden >> down, doc[: len(code)][at]))
+            out.append(((code[at] + np.uint64(order)) * golden >> down, doc[: len(code)][at]))
     return out
 
 
+#: Odd numbers without pattern, one for each place in an n-gram.
+_ODD = mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
+
+
+def characters(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Each code point of the texts as a number, its bytes, and its document."""
+    starts = (t.buffer & 0xC0) != 0x80
+    if starts.all():
+        return t.buffer.astype(np.uint64), np.repeat(np.arange(len(t)), t.last - t.first + 1)
+    first = np.flatnonzero(starts)
+    wide = np.diff(np.append(first, len(t.buffer)))
+    letters = t.buffer[first].astype(np.uint64)
+    for k in range(1, 4):
+        more = np.flatnonzero(wide > k)
+        if len(more):
+            letters[more] |= t.buffer[first[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return letters, np.repeat(np.arange(len(t)), np.diff(np.append(np.searchsorted(first, t.first), len(first))))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -119,39 +138,50 @@ class QualityRules:
                         ["doc_id", "label", "slots", "rates"],
                     )
 
-        sample = common.labelled_sample(docs, labels, label, self.max_train)
-        rows = sample.mapInArrow(features, "doc_id bigint, label int, slots binary, rates binary").toArrow().sort_by("doc_id")
-        return self.regress(*(rows.column(x).to_pylist() for x in ("doc_id", "label", "slots", "rates")))
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [(i, y, np.frombuffer(s, np.uint32), np.frombuffer(r, np.float32)) for b in batches for i, y, s, r in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+            m = self.regress(*(list(x) for x in zip(*rows, strict=True))) if rows else self.regress([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([[m.bias, m.slope, m.offset]])], ["weights", "numbers"])
 
-    def regress(self, ids: list[int], label: list[int], slots: list[bytes], rates: list[bytes]) -> Model:
-        """Accelerated gradient descent on four fifths of the sample, calibration on the rest."""
+        sample = common.labelled_sample(docs, labels, label, self.max_train)
+        rows = sample.mapInArrow(features, "doc_id bigint, label int, slots binary, rates binary")
+        found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(solve, "weights binary, numbers array<double>").first()  # max_train rows
+        if found is None:
+            return self.regress([], [], [], [])
+        return Model(np.frombuffer(found["weights"], np.float32), *found["numbers"], self.bits, self.threshold)
+
+    def regress(self, ids: list[int], label: list[int], slots: list[np.ndarray], rates: list[np.ndarray], block: int = 128) -> Model:
+        """Accelerated gradient descent on four fifths of the sample, calibration on the rest; `block` texts at a time."""
         y = np.array(label, float)
         base = (y.sum() + 1) / (len(y) + 2)
         if len(set(label)) < 2:
             return Model(np.zeros(1 << self.bits, np.float32), float(np.log(base / (1 - base))), 1.0, 0.0, self.bits, self.threshold)
-        row = np.repeat(np.arange(len(y)), [len(x) // 4 for x in slots])
-        col = np.frombuffer(b"".join(slots), np.uint32).astype(np.int64)
-        val = np.frombuffer(b"".join(rates), np.float32).astype(np.float64)
         held = (mix(np.array(ids, np.int64).view(np.uint64)) % np.uint64(5)) == 0
         if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
             held = np.zeros(len(y), bool)
-        all_rows = row, col, val
-        used = ~held[row]
-        row, col, val = row[used], col[used], val[used]
         share = np.where(held, 0, np.where(y == 1, 0.5 / max(y[~held].sum(), 1), 0.5 / max((1 - y[~held]).sum(), 1)))
         size = 1 << self.bits
+        blocks = []
+        for i in range(0, len(y), block):
+            row = np.repeat(np.arange(min(block, len(y) - i)), [len(x) for x in slots[i : i + block]]).astype(np.int32)
+            blocks.append((slice(i, i + block), row, np.concatenate(slots[i : i + block]), np.concatenate(rates[i : i + block])))
+            slots[i : i + block] = rates[i : i + block] = [None] * (min(block, len(y) - i))
+
+        def outputs(w: np.ndarray, b: float) -> np.ndarray:
+            return np.concatenate([np.bincount(row, w[col] * val, len(y[at])) for at, row, col, val in blocks]) + b
+
         w, b, v, bv, momentum = np.zeros(size), 0.0, np.zeros(size), 0.0, 1.0
-        rate = 4 / (1 + np.bincount(row, val * val, len(y)).max())
+        rate = 4 / (1 + max(float(np.bincount(row, np.square(val, dtype=float), 1).max()) for _, row, _, val in blocks))
         for _ in range(self.steps):
-            z = np.bincount(row, v[col] * val, len(y)) + bv
-            g = share * (sigmoid(z) - y)
-            w_next = v - rate * (np.bincount(col, g[row] * val, size) + self.penalty * v)
+            g = share * (sigmoid(outputs(v, bv)) - y)
+            w_next = (1 - rate * self.penalty) * v
+            for at, row, col, val in blocks:
+                np.subtract(w_next, rate * np.bincount(col, g[at][row] * val, size), out=w_next)
             b_next = bv - rate * g.sum()
             following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
             v, bv = w_next + (momentum - 1) / following * (w_next - w), b_next + (momentum - 1) / following * (b_next - b)
             w, b, momentum = w_next, b_next, following
-        row, col, val = all_rows
-        z = np.bincount(row, w[col] * val, len(y)) + b
+        z = outputs(w, b)
         held = held if held.any() else np.ones(len(y), bool)
         slope, offset = calibrate(z[held], y[held])
         return Model(w.astype(np.float32), float(b), slope, offset, self.bits, self.threshold)
@@ -168,17 +198,17 @@ def verdicts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, the five counts (long), probability, base_failed and kept of every document."""
+    """doc_id, the five counts (long), base_failed, kept and probability of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 2**bits floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in common.slices(batch):
                 v = verdicts(shared.value, texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v[x].astype(np.int64)) for x in FIELDS), pa.array(v["probability"]), pa.array(v["base_failed"]), pa.array(v["kept"])], ["doc_id", *FIELDS, "probability", "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v[x].astype(np.int64)) for x in FIELDS), pa.array(v["base_failed"]), pa.array(v["kept"]), pa.array(v["probability"])], ["doc_id", *FIELDS, "base_failed", "kept", "probability"])
 
     kinds = ", ".join(f"{x} bigint" for x in ["doc_id", *FIELDS])
-    return docs.select("doc_id", "text").mapInArrow(run, f"{kinds}, probability double, base_failed boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"{kinds}, base_failed boolean, kept boolean, probability double")
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
