@@ -22,33 +22,55 @@ import numpy as np
 def types(text: np.ndarray) -> np.ndarray:
     """True for S. The end of the text is smaller than any symbol."""
     n = len(text)
-    turn = np.sign(np.diff(text.astype(np.int32), append=-1))
+    turn = np.sign(np.diff(text.astype(np.int16), append=np.int16(-1)))
     at = np.where(turn != 0, np.arange(n), n)
     following = np.minimum.accumulate(at[::-1])[::-1]
     return turn[following] > 0
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Of the suffixes at a and b, to `depth` at most."""
-    out = np.zeros(len(a), np.int64)
-    left = np.arange(len(a))
-    n = len(text)
-    for k in range(depth):
-        x, y = a[left] + k, b[left] + k
-        same = (x < n) & (y < n)
-        same[same] = text[x[same]] == text[y[same]]
-        left = left[same]
-        if not len(left):
-            break
-        out[left] += 1
-    return out
+#: Symbols in one whole number: 7 of 9 bits.
+PACK, BITS = 7, 9
+
+
+class Packed:
+    """A text of symbols below 512, PACK of them from each place in one number: common prefixes in few steps."""
+
+    def __init__(self, text: np.ndarray) -> None:
+        self.n = len(text)
+        whole = np.zeros(self.n + PACK, np.int64)
+        whole[: self.n] = text
+        whole[: self.n] += 1  # the end is no symbol
+        self.words = np.zeros(self.n + 1, np.int64)
+        for k in range(PACK):
+            self.words <<= BITS
+            self.words |= whole[k : k + self.n + 1]
+
+    def common_prefix(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+        """Of the suffixes at a and b, to `depth` at most."""
+        out = np.full(len(a), depth, np.int64)
+        left = np.arange(len(a))
+        for k in range(0, depth, PACK):
+            x = self.words[np.minimum(a[left] + k, self.n)]
+            x ^= self.words[np.minimum(b[left] + k, self.n)]
+            # both ending is no common symbol
+            differs = (x != 0) | (np.maximum(a[left], b[left]) + k + PACK > self.n)
+            at = left[differs]
+            if len(at):
+                same = np.zeros(len(at), np.int64)
+                for j in range(1, PACK + 1):
+                    same += (x[differs] >> (BITS * (PACK - j)) == 0) & (np.maximum(a[at], b[at]) + k + j <= self.n)
+                out[at] = np.minimum(k + same, depth)
+                left = left[~differs]
+            if not len(left):
+                break
+        return out
 
 
 def names(text: np.ndarray, s: np.ndarray, sample: np.ndarray) -> np.ndarray:
     """Ranks of the sample's substrings, each up to the next sample suffix; symbols with types, six in a column."""
     n = len(text)
     ends = np.append(sample[1:], n - 1)
-    symbols = np.concatenate([text.astype(np.int64) * 2 + s + 1, np.zeros(6, np.int64)])
+    symbols = np.concatenate([text.astype(np.int16) * np.int16(2) + s + np.int16(1), np.zeros(6, np.int16)])
     rank = np.zeros(len(sample), np.int64)
     left = np.arange(len(sample))
     column = 0
@@ -56,7 +78,7 @@ def names(text: np.ndarray, s: np.ndarray, sample: np.ndarray) -> np.ndarray:
         key = np.zeros(len(left), np.int64)
         for k in range(column, column + 6):
             at = sample[left] + k
-            key = key << 10 | np.where(at <= ends[left], symbols[np.minimum(at, n)], 0)
+            key = key << 10 | np.where(at <= ends[left], symbols[np.minimum(at, n)], np.int16(0))
         order = np.lexsort((key, rank[left]))
         r, v = rank[left][order], key[order]
         fresh = np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])])
@@ -186,11 +208,14 @@ def suffix_order(text: np.ndarray, depth: int = 100, memory: int = 64 << 20) ->
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    text = np.asarray(text, np.int64)
+    if text.max() >= (1 << BITS) - 1:
+        raise ValueError("symbols must stay below 511")
+    text = np.asarray(text, np.uint16)  # numbers of 16 bits are sorted by radix
+    packed = Packed(text)
     s = types(text)
     sample = np.flatnonzero(s & np.concatenate([[False], ~s[:-1]]))
     sample = sample[ordered_names(names(text, s, sample), depth)] if len(sample) else sample
-    shared = common_prefix(text, sample[:-1], sample[1:], depth) if len(sample) else np.zeros(0)
+    shared = packed.common_prefix(sample[:-1], sample[1:], depth) if len(sample) else np.zeros(0)
     shared = np.concatenate([[0], shared]).astype(np.uint8)[: len(sample)]
     symbols = int(text.max()) + 1
     cut = np.searchsorted(text[sample], np.arange(symbols + 1))
@@ -199,7 +224,7 @@ def suffix_order(text: np.ndarray, depth: int = 100, memory: int = 64 << 20) ->
     sweep = Sweep(text, queues, depth)
     # the last suffix is of type L and smaller than all others with its symbol
     queues.put(int(text[-1]), np.array([n - 1]), np.zeros(1, np.uint8))
-    pair = lambda a, b: common_prefix(text, np.array([a]), np.array([b]), depth).astype(np.uint8)
+    pair = lambda a, b: packed.common_prefix(np.array([a]), np.array([b]), depth).astype(np.uint8)
 
     for c in range(symbols):
         last = -1

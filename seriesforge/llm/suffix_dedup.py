@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .induced_sort import suffix_order
-from .textstats import mix, prefix_hash, span_hash
+from .textstats import mix, powers, prefix_hash, span_hash
 
 GRAM = 24
 #: Symbols of a shard; one anchor's segments may exceed it, its queues then go to a scratch file.
@@ -76,7 +76,8 @@ def _segments(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     prefix = prefix_hash(buffer)
     start = np.arange(n - GRAM + 1)
-    gram = span_hash(prefix, start, start + GRAM)
+    _, inverse = powers(len(prefix))
+    gram = (prefix[GRAM:] - prefix[: n - GRAM + 1]) * inverse[: n - GRAM + 1]
     bits = np.uint64(64 - KEPT_BITS)
     low = gram >> bits << bits | start.astype(np.uint64)  # the leftmost of equal ones is least
     step = 1
@@ -97,7 +98,7 @@ def _segments(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     first, anchor, doc = at[head], anchor[head], doc[head]
     ahead = anchor - first
     content = mix(span_hash(prefix, first, first + more + width) + ahead.astype(np.uint64))
-    return gram[anchor].view(np.int64), (content >> np.uint64(1)).view(np.int64), doc, first - (ends - sizes)[doc], ahead, more
+    return mix(gram[anchor]).view(np.int64), (content >> np.uint64(1)).view(np.int64), doc, first - (ends - sizes)[doc], ahead, more
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,23 +233,25 @@ def repeated(oid: np.ndarray, first: np.ndarray, bodies: list[bytes], width: int
     order = np.lexsort((first, oid))  # windows of a document belong to one segment each, so text order is window order
     bodies = [bodies[i] for i in order.tolist()]
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    text = np.zeros(sizes.sum() + len(sizes), np.int64)
+    text = np.zeros(sizes.sum() + len(sizes), np.uint16)
     begin = np.cumsum(sizes + 1) - sizes - 1
     inside = np.ones(len(text), bool)
     inside[begin + sizes] = False
-    text[inside] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int64) + 1
+    text[inside] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint16) + np.uint16(1)
+    window = np.ones(len(text), bool)
+    for k in range(width):  # the last places of a segment begin no window
+        window[begin + sizes - k] = False
     suffix, shared = suffix_order(text, width)
-    group = np.cumsum(shared < width)
-    segment = np.searchsorted(begin, suffix, "right") - 1
-    window = suffix - begin[segment] + width <= sizes[segment]
-    suffix, group, segment = suffix[window], group[window], segment[window]
+    keep = window[suffix]
+    group = np.cumsum(shared < width)[keep]
+    suffix = suffix[keep]
     if not len(suffix):
         return (np.zeros(0, np.int64),) * 3
     head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     earliest = np.repeat(np.minimum.reduceat(suffix, head), np.diff(np.append(head, len(group))))
-    later = suffix != earliest
-    segment = segment[later]
-    start = first[order][segment] + suffix[later] - begin[segment]
+    later = suffix[suffix != earliest]
+    segment = np.searchsorted(begin, later, "right") - 1
+    start = first[order][segment] + later - begin[segment]
     return _merged_by(oid[order][segment], start, start + width)
 
 
