@@ -47,6 +47,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_group_mb:
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", h).sortWithinPartitions("doc_id", h, "text")
     options = {
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
         "parquet.writer.version": "v2",
         "parquet.block.size": str(row_group_mb << 20),
         "parquet.page.size": str(page_kb << 10),
