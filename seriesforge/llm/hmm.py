@@ -9,8 +9,8 @@ better, but cost every unseen word the logarithm of its class's share. So every
 up to 1.
 
 Baum-Welch: each task gathers expected emission, transition and start counts over whole training texts; counts are
-added up by class block across tasks, first within every `FAN` tasks. Rounds go on until the likelihood gains less than
-`gain` a token, `rounds` times at most.
+added up by class block across tasks, first within every `FAN` tasks. Early rounds take the texts of an eighth of the
+hashes of row numbers, from all over the corpus and growing with it; the last rounds take all training texts.
 Scores are exact: the scaled forward recursion runs over the whole text, however long. Counts of words outside the
 vocabulary reach their documents by a join.
 
@@ -168,12 +168,15 @@ def begun(base: np.ndarray, states: int, seed: int) -> Model:
 
 @dataclass
 class HiddenMarkov:
-    """rounds: at most so many, each over all training texts; gain: of log10 likelihood a token, below it they end."""
+    """early: rounds over an eighth of the training texts; rounds: at most so many over all of them, which end sooner if
+    one gains less than `gain` in log10 likelihood a token.
+    """
 
     states: int = 16
     max_words: int = 64_000
     tails: int = 1
-    rounds: int = 12
+    early: int = 10
+    rounds: int = 2
     gain: float = 0.002
     strength: float = 50.0
     seed: int = 5
@@ -202,7 +205,7 @@ class HiddenMarkov:
         once = (once + 0.5) / (once + 0.5).sum()  # of an unseen word
         base[:tails] = np.maximum(base[:tails], 0) + once * unigram.probability(np.zeros(1))[0] if total else 1 / tails
         coded = common.staged(self._coded(rows, number, np.log10(once)).withColumn("uid", F.monotonically_increasing_id()), "coded")
-        train = coded.where(~F.col("held_out")).select("ids")
+        train = coded.where(~F.col("held_out")).select("uid", "ids")
         model = self.train(train, base) if total else Model(np.ones(1), np.ones((1, 1)), np.ones((len(base), 1)))
         logs = spark.sparkContext.broadcast((model, np.log10(base)))
 
@@ -261,8 +264,15 @@ class HiddenMarkov:
         return rows[: self.max_words]
 
     def train(self, coded: DataFrame, base: np.ndarray) -> Model:
-        """Baum-Welch over all rows of `coded` (ids)."""
+        """Baum-Welch over all rows of `coded` (uid, ids), after early rounds over an eighth of them."""
         model = begun(base, self.states, self.seed)
+        # in an eighth of the tasks, too: each sends its sums once, however many texts it has
+        eighth = coded.where(F.pmod(F.xxhash64("uid"), F.lit(8)) == 0).select("ids").coalesce(max(1, len(coded.inputFiles()) // 8))
+        eighth = common.staged(eighth, "coded-eighth")
+        for _ in range(0 if eighth.isEmpty() else self.early):
+            model, _ = self.round(eighth, model, base)
+        common.discard(eighth)
+        coded = coded.select("ids")
         before = -np.inf
         for _ in range(self.rounds):
             model, loss = self.round(coded, model, base)

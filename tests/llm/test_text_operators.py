@@ -216,7 +216,7 @@ def test_expectations_of_long_texts():
 
 def test_likelihood_rises_and_probabilities_add_up(spark):
     docs = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{(i * k) % (20 + i % 3)}" for k in range(60))) for i in range(90)], "doc_id bigint, text string").repartition(70)
-    h = hmm.HiddenMarkov(states=3, max_words=12, tails=2)
+    h = hmm.HiddenMarkov(states=3, max_words=12, tails=2, early=0, rounds=8)
     seen, orig = [], h.round
 
     def round_(coded, model, base):
