@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.matchers import Matcher
 from .model import Grid, QueryError, Warnings, labels_map
 from .operators.select import Storage
-from .plans.compiler import compile_query
+from .plans.compiler import Query, compile_query
 from .plans.parser import Selector, duration_ms, parse, selectors
 
 # Statuses and error types of the API.
@@ -61,6 +61,16 @@ def number(value: float) -> str:
     return str(int(value)) if value == int(value) and abs(value) < 1e15 else repr(value)
 
 
+def buckets(h) -> dict:
+    """Of a native histogram in JSON; a bucket says which of its bounds it holds: 0 the upper, 1 the lower, 3 both."""
+    bound = lambda i: 2.0 ** (i * 2.0 ** -h["schema"])
+    out = [(1, -bound(b["i"]), -bound(b["i"] - 1), b["c"]) for b in reversed(h["neg"])]
+    out += [(3, -h["zero_threshold"] or 0.0, h["zero_threshold"], h["zero_count"])] if h["zero_count"] else []
+    out += [(0, bound(b["i"] - 1), bound(b["i"]), b["c"]) for b in h["pos"]]
+    shown = {"count": number(h["count"]), "sum": number(h["sum"])}
+    return shown | ({"buckets": [[rule, *map(number, x)] for rule, *x in out]} if out else {})
+
+
 @dataclass
 class Api:
     """timeout_ms: longest time of a query, 0 for any; a request may ask for less.
@@ -164,21 +174,27 @@ class Api:
         q = compile_query(self.storage, text, grid, self.subquery_step_ms)
         if self.storage.hidden:  # series may be merged after external labels were set
             any(self.storage.conflicts(m) for m in selectors(parse(text)))
-        rows = q.ordered().select("step", "value", labels_map(q.labels).alias("metric"))
-        if self.max_samples:
-            rows = rows.limit(self.max_samples + 1)
-        found = rows.collect()
+        own = [q.ordered().select("step", "value", labels_map(q.labels).alias("metric"))]
+        if q.histograms:
+            own.append(Query(q.kind, q.histograms.df, q.histograms.labels).ordered().select("step", F.col("value").alias("hist"), labels_map(q.histograms.labels).alias("metric")))
+        found = []
+        for rows in own:
+            found += (rows.limit(self.max_samples + 1) if self.max_samples else rows).collect()
         if self.max_samples and len(found) > self.max_samples:
             raise QueryError("query processing would load too many samples into memory", "resource_exhausted")
-        sample = lambda r: [r["step"] / 1000, number(r["value"])]
+
+        def sample(r) -> tuple[str, list]:
+            return ("histogram", [r["step"] / 1000, buckets(r["hist"])]) if "hist" in r else ("value", [r["step"] / 1000, number(r["value"])])
+
         if instant and q.kind == "scalar":
-            return {"resultType": "scalar", "result": sample(found[0])}
+            return {"resultType": "scalar", "result": sample(found[0])[1]}
         if instant and q.kind == "vector":
-            return {"resultType": "vector", "result": [{"metric": dict(r["metric"]), "value": sample(r)} for r in found]}
-        series: dict[tuple, list] = {}
+            return {"resultType": "vector", "result": [{"metric": dict(r["metric"]), **dict([sample(r)])} for r in found]}
+        series: dict[tuple, dict[str, list]] = {}
         for r in found:
-            series.setdefault(tuple(sorted(r["metric"].items())), []).append(sample(r))
-        return {"resultType": "matrix", "result": [{"metric": dict(k), "values": v} for k, v in series.items()]}
+            kind, x = sample(r)
+            series.setdefault(tuple(sorted(r["metric"].items())), {}).setdefault(kind + "s", []).append(x)
+        return {"resultType": "matrix", "result": [{"metric": dict(k), **v} for k, v in series.items()]}
 
     def info(self) -> dict:
         """Smallest and largest time, and the external labels."""

@@ -12,6 +12,7 @@ NAME = "__name__"
 PREFIX = "l_"
 #: Of samples whose ts_ms is computed: the stored timestamp without zone, which bounds of time can be pushed to.
 STORED_TIME = "at_ntz"
+HIST = "hist"
 DAY_MS = 86_400_000
 SLOT_MS = 8 * 3_600_000
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matchers import Matcher, predicate, split_constant
-from ..model import NAME, PREFIX, STORED_TIME, QueryError, Warnings, column, label, label_columns, ntz, series_id
+from ..model import HIST, NAME, PREFIX, STORED_TIME, QueryError, Warnings, column, label, label_columns, ntz, series_id
 
 
 @dataclass
 class Storage:
-    """Samples (ts_ms, value, perhaps is_stale, and a column l_<label> per label; absent labels are null).
+    """Samples (ts_ms, value, perhaps is_stale and hist, and a column l_<label> per label; absent labels are null).
+
+    hist: a native histogram instead of a number. Numbers and histograms are selected one or the other; a sample of the
+    other kind then stands as a stale marker.
 
     external: labels that every series gets; replica: labels dropped after that. row_quota: most series that a query may
     select, 0 for any number. series_rows: label columns, mint and maxt of each series, from which metadata is answered
@@ -68,30 +71,44 @@ class Storage:
                 raise QueryError(f"select would fetch more than {self.row_quota} series", "resource_exhausted")
         return rows
 
+    def counted(self) -> Storage:
+        """The same with 1 for each histogram, for what only counts samples."""
+        rows = self.samples.withColumn("value", F.when(F.col(HIST).isNotNull(), 1.0).otherwise(F.col("value"))).drop(HIST)
+        return replace(self, samples=rows)
+
     def mangled(self, rows: DataFrame) -> DataFrame:
         """External labels set, replica labels dropped."""
         for name, value in self.external.items():
             rows = rows.withColumn(column(name), F.lit(value))
         return rows.drop(*(column(x) for x in self.replica))
 
-    def shown(self, matchers: list[Matcher], low: int | None = None, high: int | None = None) -> DataFrame:
+    @property
+    def histograms(self) -> bool:
+        return HIST in self.samples.columns
+
+    def shown(self, matchers: list[Matcher], low: int | None = None, high: int | None = None, kind: str = "value") -> DataFrame:
         """Matching samples with the labels that queries see, not merged: ts_ms, value, is_stale, labels and `tie`.
 
         Of several samples at one time that with the least `tie` counts: of the series with the smallest stored labels,
         then the largest source order, then the smallest value.
         """
         rows = self.matching(matchers, low, high)
-        rest = [c for c in rows.columns if not c.startswith(PREFIX) and c not in ("ts_ms", "value", "is_stale")]
+        rest = [c for c in rows.columns if not c.startswith(PREFIX) and c not in ("ts_ms", "value", "is_stale")]  # hist, too: equal numbers may differ there
         tie = F.struct(*(label(x).alias(f"old_{i}") for i, x in enumerate(self.hidden)), *sorted(rest), F.isnan("value").alias("nan"), F.col("value").alias("least"))
         stale = F.col("is_stale") if "is_stale" in rows.columns else F.lit(False)
-        return self.mangled(rows.withColumns({"tie": tie, "is_stale": stale})).select("ts_ms", "value", "is_stale", "tie", *(label(x) for x in self.labels))
+        made = {"tie": tie, "is_stale": stale}
+        if self.histograms:
+            other = {"value": F.col(HIST).isNotNull(), HIST: F.col(HIST).isNull(), "both": F.lit(False)}[kind]
+            made |= {"is_stale": stale | other, "value": F.struct("value", HIST) if kind == "both" else F.col(kind)}
+        return self.mangled(rows.withColumns(made)).select("ts_ms", "value", "is_stale", "tie", *(label(x) for x in self.labels))
 
-    def select(self, matchers: list[Matcher], low: int | None = None, high: int | None = None, by_series: bool = False) -> DataFrame:
+    def select(self, matchers: list[Matcher], low: int | None = None, high: int | None = None, by_series: bool = False, kind: str = "value") -> DataFrame:
         """Samples as queries see them: one per series and time; series that become equal are merged by sample.
 
-        by_series: partitioned by series from the start, for what needs whole series next.
+        by_series: partitioned by series from the start, for what needs whole series next. kind: value, hist for
+        histograms, which then are in column value, or both for a struct of the two.
         """
-        rows = self.shown(matchers, low, high)
+        rows = self.shown(matchers, low, high, kind)
         keys = [label(x) for x in self.labels]
         if by_series and (own := [label(x) for x in self.labels if x != NAME]):
             rows = rows.repartition(*own)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..functions.re2 import Pattern
-from ..model import NAME, Grid, QueryError, column, label
-from ..operators import windows
+from ..model import HIST, NAME, Grid, QueryError, column, label
+from ..operators import histograms, windows
 from ..operators.select import Storage
 from .functions import mapped
 from .parser import COMPARISONS, Aggregate, At, Binary, Call, Expr, Matching, Number, Selector, String, Subquery, Unary, kind, parse
@@ -117,10 +117,10 @@ class Compiler:
             return df.withColumn("step", F.col("step") + offset) if offset else df
         return df.drop("step").withColumn("step", F.explode(grid.times()))
 
-    def instant(self, e: Selector, grid: Grid) -> Vector:
+    def instant(self, e: Selector, grid: Grid, of: str = "value") -> Vector:
         own, _ = self.pinned(e.at, e.offset, grid)
         once = self.storage.unique and not self.storage.hidden
-        samples = (self.storage.select if once else self.storage.shown)(list(e.matchers), own.start - self.storage.lookback_ms + 1, own.last)
+        samples = (self.storage.select if once else self.storage.shown)(list(e.matchers), own.start - self.storage.lookback_ms + 1, own.last, kind=of)
         rows = windows.instant(samples, self.storage.labels, own, self.storage.lookback_ms)
         return Vector(self.back(rows, e.at, e.offset, grid), self.storage.labels)
 
@@ -140,8 +140,102 @@ class Compiler:
         v = Vector(self.back(rows, e.at, e.offset, grid), labels)
         return v if name == "last_over_time" else v.with_value(F.col("value"))
 
+    def histograms(self, e: Expr, grid: Grid) -> Vector | None:
+        """The histograms among an expression's results, None if it has none; vector() has its numbers."""
+        if not self.storage.histograms:
+            return None
+        match e:
+            case Selector():
+                v = self.instant(e, grid, HIST)
+                return Vector(v.df.drop("sample_ts"), v.labels)
+            case Unary():
+                v = self.histograms(e.expr, grid)
+                return v if v is None or e.op == "+" else v.with_value(histograms.scaled(F.col("value"), F.lit(-1.0)))
+            case Aggregate(op="sum" | "avg"):
+                v = self.histograms(e.expr, grid)
+                return v and self.unmixed(self.added(e, v), self.reduced(e, self.vector(e.expr, grid)))
+            case Binary(op="*" | "/") if "scalar" in (kind(e.left), kind(e.right)):
+                swapped = kind(e.left) == "scalar"
+                v = self.histograms(e.right if swapped else e.left, grid)
+                if v is None or (swapped and e.op == "/"):
+                    return None
+                df, s = self.beside(v.df, self.scalar(e.left if swapped else e.right, grid), "s")
+                return Vector(df, v.labels).with_value(histograms.scaled(F.col("value"), s if e.op == "*" else ieee.divide(F.lit(1.0), s)))
+            case Binary(op="+" | "-") if "scalar" not in (kind(e.left), kind(e.right)) and not e.matching.side:
+                return self.combined(e, self.histograms(e.left, grid), self.histograms(e.right, grid))
+            case Call(name="label_replace" | "label_join"):
+                v = self.histograms(e.args[0], grid)
+                return v and self.relabelled(e, v)
+            case Call() if e.name in histograms.OVER_RANGE and isinstance(e.args[0], Selector):
+                x = e.args[0]
+                own, _ = self.pinned(x.at, x.offset, grid)
+                samples = self.storage.select(list(x.matchers), own.start - x.window + 1, own.last, by_series=True, kind=HIST)
+                rows = histograms.over_range(samples, self.storage.labels, own, x.window, e.name)
+                v = Vector(self.back(rows, x.at, x.offset, grid), self.storage.labels)
+                return v if e.name == "last_over_time" else v.with_value(F.col("value"))
+        return None
+
+    def added(self, e: Aggregate, v: Vector) -> Vector:
+        names = self.grouping(e, v)
+        found = histograms.added(v.df, ["step", *(column(n) for n in names)])
+        value = F.col("value") if e.op == "sum" else histograms.scaled(F.col("value"), F.lit(1.0) / F.col("n"))
+        return Vector(found.select("step", value.alias("value"), *(label(n) for n in names)), names)
+
+    def unmixed(self, v: Vector, other: Vector) -> Vector:
+        """Groups that `other` does not have: a group of numbers and histograms has no sum."""
+        names = sorted({*v.labels, *other.labels})
+        return Vector(self.set("unless", v, other, names, names).df, v.labels)
+
+    def combined(self, e: Binary, left: Vector | None, right: Vector | None) -> Vector | None:
+        """Sum or difference of the histograms with equal labels on both sides."""
+        if left is None or right is None:
+            return None
+        names = sorted({*left.labels, *right.labels})
+        keys = [x for x in names if (x in e.matching.labels if e.matching.on else x not in e.matching.labels and x != NAME)]
+        rows = None
+        for v, sign in ((left, 1.0), (right, -1.0 if e.op == "-" else 1.0)):
+            own = v.having(sorted({*v.labels, *keys})).df.select("step", "value", F.lit(sign).alias("sign"), F.lit(sign if v is right else 0.0).alias("rights"), *(label(x) for x in keys))
+            rows = own if rows is None else rows.unionByName(own)
+        group = Window.partitionBy("step", *(label(x) for x in keys))
+        sides = F.sum((F.col("rights") != 0).cast("int")).over(group), F.count("*").over(group)
+        many = F.lit("found duplicate series for the match group; many-to-many matching not allowed")
+        rows = rows.withColumns({"r": sides[0], "all": sides[1]}).where("r > 0 and all > r")
+        rows = rows.withColumn("sign", F.when(F.col("all") > 2, F.raise_error(many).cast("double")).otherwise(F.col("sign")))
+        found = histograms.added(rows, ["step", *(column(x) for x in keys)], F.col("sign"))
+        return Vector(found.select("step", "value", *(label(x) for x in keys)), keys)
+
+    def numbers(self, name: str, parameters: list[Expr], e: Expr, grid: Grid) -> Vector:
+        """A number read from each histogram; numbers among the results of `e` do not count."""
+        v = self.histograms(e, grid)
+        if v is None:
+            v = self.vector(e, grid)
+            return Vector(v.df.where(F.lit(False)), v.labels).with_value(F.col("value"))
+        df, given = v.df, []
+        for i, p in enumerate(parameters):
+            df, s = self.beside(df, self.scalar(p, grid), f"s{i}")
+            given.append(s)
+        return Vector(df, v.labels).with_value(histograms.NUMBERS[name](F.col("value"), *given))
+
+    def either(self, a: Vector, b: Vector) -> Vector:
+        names = sorted({*a.labels, *b.labels})
+        return Vector(a.having(names).df.unionByName(b.having(names).df), names)
+
+    def counted(self, e: Expr, grid: Grid) -> Vector:
+        """Numbers, and 1 for each histogram, for what does not look at values."""
+        v, h = self.vector(e, grid), self.histograms(e, grid)
+        return v if h is None else self.either(v, h.with_value(F.lit(1.0), named=True))
+
     def call(self, e: Call, grid: Grid) -> Vector:
         name, args = e.name, e.args
+        if name in histograms.NUMBERS:
+            native = self.numbers(name, list(args[:-1]), args[-1], grid) if name != "histogram_quantile" or self.storage.histograms else None
+            if name != "histogram_quantile":
+                return native
+            classic = self.histogram_quantile(args[0], self.vector(args[1], grid), grid)
+            return classic if native is None else self.either(classic, native)
+        if name in ("count_over_time", "present_over_time") and isinstance(args[0], Selector) and self.storage.histograms:
+            each = Compiler(self.spark, self.storage.counted(), self.whole, self.subquery_step)
+            return each.call(e, grid)
         if args and kind(args[0]) == "matrix" and name not in ("absent_over_time", "predict_linear"):
             return self.ranged(args[0], grid, name)
         match name:
@@ -154,7 +248,7 @@ class Compiler:
             case "absent_over_time":
                 return self.absent(args[0], self.ranged(args[0], grid, "present_over_time"), grid)
             case "absent":
-                return self.absent(args[0], self.vector(args[0], grid), grid)
+                return self.absent(args[0], self.counted(args[0], grid), grid)
             case "vector":
                 df, s = self.beside(self.steps(grid), self.scalar(args[0], grid), "s")
                 return Vector(df.select("step", s.cast("double").alias("value")), [])
@@ -165,15 +259,8 @@ class Compiler:
                 return self.vector(args[0], grid).with_value(F.col("step") / 1000.0)
             case "sort" | "sort_desc":
                 return self.vector(args[0], grid)  # order is a matter of the result, see Query.ordered
-            case "label_replace":
-                return self.label_replace(self.vector(args[0], grid), *(x.value for x in args[1:]))
-            case "label_join":
-                v = self.vector(args[0], grid)
-                target, separator, *sources = (x.value for x in args[1:])
-                joined = F.concat_ws(separator, *(F.coalesce(label(x), F.lit("")) if x in v.labels else F.lit("") for x in sources))
-                return self.set_label(v, target, F.when(joined != "", joined))
-            case "histogram_quantile":
-                return self.histogram_quantile(args[0], self.vector(args[1], grid), grid)
+            case "label_replace" | "label_join":
+                return self.relabelled(e, self.vector(args[0], grid))
         if not args:  # a part of the calendar, of the evaluation time
             return Vector(self.steps(grid).select("step", mapped(name, F.col("step") / 1000.0).alias("value")), [])
         v = self.vector(args[0], grid)
@@ -197,6 +284,13 @@ class Compiler:
         names = v.labels if target in v.labels else [*v.labels, target]
         return Vector(v.df.withColumn(column(target), value).select("step", "value", *(label(x) for x in names)), names)
 
+    def relabelled(self, e: Call, v: Vector) -> Vector:
+        if e.name == "label_replace":
+            return self.label_replace(v, *(x.value for x in e.args[1:]))
+        target, separator, *sources = (x.value for x in e.args[1:])
+        joined = F.concat_ws(separator, *(F.coalesce(label(x), F.lit("")) if x in v.labels else F.lit("") for x in sources))
+        return self.set_label(v, target, F.when(joined != "", joined))
+
     def label_replace(self, v: Vector, target: str, replacement: str, source: str, pattern: str) -> Vector:
         compiled = Pattern(pattern)
         anchored = compiled.anchored
@@ -235,9 +329,20 @@ class Compiler:
         value = F.when((F.col("top") != ieee.INF) | (F.col("total") == 0) | F.isnan("qq"), ieee.NAN).when(F.col("qq") < 0, -ieee.INF).when(F.col("qq") > 1, ieee.INF).otherwise(F.col("v"))
         return Vector(first.select("step", value.alias("value"), *(label(x) for x in names)), names)
 
+    @staticmethod
+    def grouping(e: Aggregate, v: Vector) -> list[str]:
+        return [x for x in v.labels if x not in e.labels and x != NAME] if e.without else [x for x in v.labels if x in e.labels]
+
     def aggregate(self, e: Aggregate, grid: Grid) -> Vector:
-        v = self.vector(e.expr, grid)
-        names = [x for x in v.labels if x not in e.labels and x != NAME] if e.without else [x for x in v.labels if x in e.labels]
+        v = self.counted(e.expr, grid) if e.op in ("count", "group") else self.vector(e.expr, grid)
+        out = self.reduced(e, v, grid)
+        if e.op in ("sum", "avg") and (h := self.histograms(e.expr, grid)) is not None:
+            return self.unmixed(out, self.added(e, h))
+        return out
+
+    def reduced(self, e: Aggregate, v: Vector, grid: Grid | None = None) -> Vector:
+        """An aggregation of numbers; the grid is needed for parameters."""
+        names = self.grouping(e, v)
         keys, x = [label(n) for n in names], F.col("value")
         if e.op in ("topk", "bottomk"):
             df, k = self.beside(v.df, self.scalar(e.parameter, grid), "k")
@@ -334,12 +439,13 @@ class Compiler:
 
 @dataclass
 class Query:
-    """A compiled query: kind is vector or scalar."""
+    """A compiled query: kind is vector, scalar or matrix; histograms: the results that are histograms, if there can be any."""
 
     kind: str
     df: DataFrame
     labels: list[str]
     order: str = ""
+    histograms: Vector | None = None
 
     def ordered(self) -> DataFrame:
         by = {"sort": F.col("value").asc(), "sort_desc": F.col("value").desc()}.get(self.order)
@@ -356,9 +462,14 @@ def compile_query(storage: Storage, text: str, grid: Grid, subquery_step: int =
             raise QueryError("invalid expression type range vector for range query, must be scalar or instant vector")
         own = Grid.instant(grid.start - e.offset)
         rows = storage.select(list(e.matchers), own.start - e.window + 1, own.start).where("not is_stale")
-        return Query("matrix", rows.select(F.col("ts_ms").alias("step"), "value", *(label(x) for x in storage.labels)), storage.labels)
+        shown = ("value", *(label(x) for x in storage.labels))
+        found = None
+        if storage.histograms:
+            other = storage.select(list(e.matchers), own.start - e.window + 1, own.start, kind=HIST).where("not is_stale")
+            found = Vector(other.select(F.col("ts_ms").alias("step"), *shown), storage.labels)
+        return Query("matrix", rows.select(F.col("ts_ms").alias("step"), *shown), storage.labels, histograms=found)
     if kind(e) == "scalar":
         v = compiler.vector(Call("vector", (e,)), grid)
         return Query("scalar", v.df, [])
     v = compiler.vector(e, grid)
-    return Query("vector", v.df, v.labels, e.name if isinstance(e, Call) and e.name in ("sort", "sort_desc") else "")
+    return Query("vector", v.df, v.labels, e.name if isinstance(e, Call) and e.name in ("sort", "sort_desc") else "", compiler.histograms(e, grid))

@@ -26,7 +26,8 @@ SIGNATURES: dict[str, tuple[tuple[str, ...], int]] = (
     | {x: (("vector",), 1) for x in _CALENDAR}
     | {"time": ((), 0), "pi": ((), 0), "vector": (("scalar",), 0), "round": (("vector", "scalar"), 1), "clamp": (("vector", "scalar", "scalar"), 0)}
     | {"clamp_min": (("vector", "scalar"), 0), "clamp_max": (("vector", "scalar"), 0), "quantile_over_time": (("scalar", "matrix"), 0), "predict_linear": (("matrix", "scalar"), 0)}
-    | {"histogram_quantile": (("scalar", "vector"), 0), "label_replace": (("vector", *["string"] * 4), 0), "label_join": (("vector", *["string"] * 12), 10)}
+    | {f"histogram_{x}": (("vector",), 0) for x in ("count", "sum", "avg", "stddev", "stdvar")}
+    | {"histogram_fraction": (("scalar", "scalar", "vector"), 0), "histogram_quantile": (("scalar", "vector"), 0), "label_replace": (("vector", *["string"] * 4), 0), "label_join": (("vector", *["string"] * 12), 10)}
 )
 
 

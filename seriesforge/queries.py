@@ -82,7 +82,28 @@ def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = F.when(label("le") == "+Inf", float("inf")).otherwise(label("le").try_cast("double"))
     return rows.withColumn("value", (F.col("value") <= bound).cast("double"))
 
+
+def _native(samples: str, quantity: str) -> str:
+    """Numbers of the sum of one-observation histograms: `samples` has step, event_type and v; buckets are (2^((i-1)/2), 2^(i/2)]."""
+    return f"""{_W}, m AS ({samples}), k AS (SELECT step, event_type, CASE WHEN v <= 1 THEN 0 ELSE CAST(ceil(round(log2(v) * 2, 9)) AS INT) END AS i, v <= 1 AS z, v FROM m),
+    b AS (SELECT step, event_type, i, z, CAST(count(*) AS DOUBLE) AS c, sum(v) AS s FROM k GROUP BY ALL),
+    t AS (SELECT *, sum(c) OVER w AS n, sum(s) OVER w AS total, count(*) FILTER (NOT z) OVER w AS filled, sum(c) OVER (PARTITION BY step, event_type ORDER BY z DESC, i) AS upto FROM b WINDOW w AS (PARTITION BY step, event_type)),
+    r AS (SELECT *, CASE WHEN z THEN CASE WHEN filled > 0 THEN 0.0 ELSE -1.0 END ELSE (i - 1) / 2.0 END AS low, CASE WHEN z THEN 1.0 ELSE i / 2.0 END AS high FROM t)
+    {quantity}"""
+
+
+_INSTANT_HISTOGRAMS = "SELECT step, event_type, v FROM iv"
+_DAY_HISTOGRAMS = f"SELECT step, event_type, value AS v FROM ev JOIN g ON ts_ms > step - {DAY} AND ts_ms <= step"
+# counted from above, so a rank that ends a bucket takes the one with the larger numbers
+_NATIVE_QUANTILE = """SELECT step, round(CASE WHEN z THEN low + (high - low) * share ELSE 2 ** (low + (high - low) * share) END, 8) AS value, event_type
+    FROM (SELECT *, 1 - ((1 - 0.9) * n - (n - upto)) / c AS share FROM r QUALIFY row_number() OVER (PARTITION BY step, event_type ORDER BY upto - c DESC) = 1 + count(*) FILTER (n - upto + c < (1 - 0.9) * n) OVER (PARTITION BY step, event_type))"""
+
 QUERIES: dict[str, tuple[Builder, str]] = {
+    "native_histogram_quantile": (query("histogram_quantile(0.9, sum by (event_type) (event_sizes))", tables.event_histograms), _native(_INSTANT_HISTOGRAMS, _NATIVE_QUANTILE)),
+    "native_histogram_over_time": (query("histogram_quantile(0.9, sum by (event_type) (sum_over_time(event_sizes_by_type[1d])))", tables.event_histograms_by_type), _native(_DAY_HISTOGRAMS, _NATIVE_QUANTILE)),
+    "native_histogram_numbers": (query("histogram_avg(sum by (event_type) (event_sizes)) + histogram_count(2 * sum by (event_type) (event_sizes)) + histogram_sum(avg by (event_type) (event_sizes))", tables.event_histograms), _native(_INSTANT_HISTOGRAMS, "SELECT DISTINCT step, round(2 * total / n + 2 * n, 8) AS value, event_type FROM (SELECT step, event_type, max(total) AS total, max(n) AS n FROM r GROUP BY ALL)")),
+    "native_histogram_fraction": (query("histogram_fraction(0.5, 16, sum by (event_type) (event_sizes))", tables.event_histograms), _native(_INSTANT_HISTOGRAMS, "SELECT step, round(sum(CASE WHEN z THEN c * (1 - greatest(0.5 - low, 0) / (high - low)) WHEN high <= 4 THEN c ELSE 0 END) / max(n), 8) AS value, event_type FROM r GROUP BY step, event_type")),
+    "native_histogram_count": (query("count by (event_type) (event_sizes)", tables.event_histograms), _agg("CAST(count(*) AS DOUBLE)")),
     "instant_selector": (query("event_value"), f"{_W} SELECT step, round(v, 8) AS value, 'event_value' AS name, event_type, user_id FROM iv"),
     "agg_sum_by": (query("sum by (event_type) (event_value)"), _agg("sum(v)")),
     "agg_avg_by": (query("avg by (event_type) (event_value)"), _agg("avg(v)")),

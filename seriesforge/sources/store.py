@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import DAY_MS, SLOT_MS, Interval, QueryError, column, day_of, day_start, days, label, label_columns, series_id, slot
+from ..model import DAY_MS, HIST, SLOT_MS, Interval, QueryError, column, day_of, day_start, days, label, label_columns, series_id, slot
 from ..operators.select import Storage
 
 BLOCKS = "stream_hash bigint, day date, version int, mint bigint, maxt bigint, series bigint, samples bigint, sources array<string>, write string, deletion_marked_at bigint"
@@ -150,11 +150,14 @@ class Store:
             there = [r for r in there if r["day"] in touched]
         if there:
             old = self._joined(there).drop("stream_hash", "day", "series_id", "write")
-            new = samples.select("ts_ms", "value", *(["is_stale"] if "is_stale" in samples.columns else [F.lit(False).alias("is_stale")]), *(label(n) for n in label_columns(samples.columns)))
+            new = samples.select("ts_ms", "value", *([HIST] if HIST in samples.columns else []), *(["is_stale"] if "is_stale" in samples.columns else [F.lit(False).alias("is_stale")]), *(label(n) for n in label_columns(samples.columns)))
             samples = old.unionByName(new, allowMissingColumns=True)
         names = label_columns(samples.columns)
         write = f"w{uuid.uuid4().hex}"
-        merged = Storage(samples).select([])
+        kinds = ["value", *([HIST] if HIST in samples.columns else [])]
+        merged = Storage(samples).select([], kind="both")
+        if HIST in kinds:
+            merged = merged.select("ts_ms", "value.value", f"value.{HIST}", "is_stale", *(label(x) for x in names))
         rows = merged.withColumn("series_id", series_id(names)).withColumn("day", day_column()).withColumn("stream_hash", F.lit(stream)).withColumn("write", F.lit(write)).withColumn("slot", slot(F.col("ts_ms"))).persist()
         order = [label(x) for x in sort_labels if x in names]
         counts = rows.groupBy("day").agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"), F.count("*").alias("samples"), F.countDistinct("series_id").alias("series")).collect()
@@ -164,7 +167,7 @@ class Store:
         parts = ("write", "stream_hash", "day")
         series = rows.groupBy(*parts, "series_id", *(label(x) for x in names)).agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"))
         series.repartitionByRange("day", *order, "series_id").sortWithinPartitions("day", *order, "series_id").write.option("maxRecordsPerFile", series_per_file).option("parquet.bloom.filter.enabled#l___name__", "true").mode("append").partitionBy(*parts).parquet(f"{self.root}/series")
-        values = rows.select(*parts, "series_id", "slot", "ts_ms", "value", "is_stale")
+        values = rows.select(*parts, "series_id", "slot", "ts_ms", *kinds, "is_stale")
         values.repartitionByRange("day", "series_id").sortWithinPartitions("day", "series_id", "ts_ms").write.mode("append").partitionBy(*parts).parquet(f"{self.root}/samples")
         rows.unpersist()
         if stream not in known:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import NAME, STORED_TIME, column
+from ..model import HIST, NAME, STORED_TIME, column
+from ..operators.histograms import HISTOGRAM, bucket_of
 
 
 def epoch_ms(name: str) -> Column:
@@ -29,6 +30,22 @@ def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn(column(NAME), F.lit("event_value_by_type")).drop(column("user_id"))
 
 
+def event_histograms(spark: SparkSession, sf_dir: str, schema: int = 1) -> DataFrame:
+    """event_sizes{event_type, user_id}: a native histogram of one observation for each event; small ones are in zero's bucket."""
+    rows = events(spark, sf_dir).withColumn(column(NAME), F.lit("event_sizes"))
+    value, small = F.col("value"), F.abs("value") <= 1.0
+    none = F.array().cast("array<struct<i:int,c:double>>")
+    one = F.array(F.struct(bucket_of(value, schema).alias("i"), F.lit(1.0).alias("c")))
+    side = lambda hit: F.when(hit & ~small, one).otherwise(none)
+    hist = F.struct(F.lit(schema).alias("schema"), F.lit(1.0).alias("zero_threshold"), small.cast("double").alias("zero_count"), F.lit(1.0).alias("count"), value.alias("sum"), side(value > 0).alias("pos"), side(value < 0).alias("neg"))
+    return rows.withColumns({HIST: hist.cast(HISTOGRAM), "value": F.lit(None).cast("double")})
+
+
+def event_histograms_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_sizes_by_type{event_type}."""
+    return event_histograms(spark, sf_dir).withColumn(column(NAME), F.lit("event_sizes_by_type")).drop(column("user_id"))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_price{orderstatus, orderpriority}."""
     return _table(spark, sf_dir, "orders").select(
