@@ -23,9 +23,11 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or an own one where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or an own one where it is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seriesforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

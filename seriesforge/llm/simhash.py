@@ -10,8 +10,8 @@ Hamming distance. Only distinct fingerprints are keyed; keys with more than `til
 pairs are verified as separate groups, and each group returns its components as stars, not its pairs.
 
 Nulls: a null text counts as empty; texts without words have fingerprint zero and link like any other. Rows with a null
-doc_id get the smallest doc_id of their component, null if it has none. Repeated rows are returned each. An empty table
-gives no rows. Only doc_id and text are read by fingerprints() and near_duplicates(). deduplicated() keeps one row of
+doc_id get the smallest doc_id of their component, null if it has none. Repeated rows are returned each. A text of
+any length is read whole, by one task. An empty table gives no rows. Only doc_id and text are read by fingerprints() and near_duplicates(). deduplicated() keeps one row of
 each component, whether or not ids are null or occur elsewhere, too.
 """
 

@@ -367,8 +367,15 @@ def _left(text: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join([text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)])
 
 
+def _checked(width: int) -> None:
+    """Places are two bytes and common prefixes one."""
+    if not GRAM <= width <= 255:
+        raise ValueError(f"width must be from {GRAM} to 255, not {width}")
+
+
 def spans(docs: DataFrame, width: int = 100, crowd: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    _checked(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,6 +393,7 @@ def without_repeats(docs: DataFrame, width: int = 100, crowd: int = 4096) -> Dat
 
     Characters of which bytes are left over at an edge go, too. A row without text keeps none.
     """
+    _checked(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

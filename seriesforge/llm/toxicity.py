@@ -12,7 +12,7 @@ Word counts cover all labelled training rows. The word table keeps every word th
 part of the table. The few parameters of the calibration are fitted on at most `max_train` labelled documents.
 
 Nulls: a null text counts as empty; a null doc_id stays null; null labels are left out. Empty texts have no segment and
-get the calibrated score of no evidence. Repeated rows are scored one by one. Only doc_id and text are read. With labels
+get the calibrated score of no evidence. Repeated rows are scored one by one. A text of any length is read whole, by one task. Only doc_id and text are read. With labels
 of one class or none, the score is the smoothed share of label 1.
 """
 

@@ -291,6 +291,13 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.spans(cases.empty(spark)).count() == 0 == suffix_dedup.without_repeats(cases.empty(spark)).count()
 
 
+@pytest.mark.parametrize("width", [23, 256])
+def test_widths_that_do_not_fit_are_refused(spark, width):
+    for f in (suffix_dedup.spans, suffix_dedup.without_repeats):
+        with pytest.raises(ValueError, match="width"):
+            f(cases.empty(spark), width=width)
+
+
 def test_segments_do_not_depend_on_slices():
     r = random.Random(12)
     texts = [bytes(r.choice(b"abcd") for _ in range(r.randint(0, 3000))) for _ in range(30)]

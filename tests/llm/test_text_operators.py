@@ -84,6 +84,65 @@ def test_rule_ensemble(spark, labelled):
     assert rule_ensemble.RuleEnsemble().fit(docs, labels.where("false")).column() is not None
 
 
+def brute_statistics(text):
+    words = [w for w in re.split("[ \\t-\\r]+", text) if w]
+    n_words, chars, symbols, dup, repeat = brute_counts(text)
+    raw, n, lines = text.encode(), max(n_words, 1), text.count("\n") + 1
+    size, per = max(len(raw), 1), Counter(words)
+    return {
+        "words": n_words, "mean_word": chars / n, "symbol_rate": symbols / size, "marked_words": sum(bool(re.search(r"[#*$%&|<>]", w)) for w in words) / n, "dup_lines": dup / lines, "repeats": repeat / n,
+        "distinct": len(per) / n, "same_next": sum(a == b for a, b in zip(words, words[1:])) / n, "digit_rate": len(re.findall("[0-9]", text)) / size, "upper_rate": len(re.findall("[A-Z]", text)) / size,
+        "punct_rate": len(re.findall(r"[!-/:-@\[-`{-~]", text)) / size, "line_words": n_words / lines, "top_word": max(per.values(), default=0) / n, "short_words": sum(len(w.encode()) <= 2 for w in words) / n,
+        "wide_rate": len(re.findall("[^\\x00-\\x7f]", text)) / size, "longest_word": max((len(w.encode()) for w in words), default=0), "space_rate": len(re.findall("[ \\t-\\r]", text)) / size,
+    }
+
+
+def test_statistics_by_counting():
+    r = random.Random(5)
+    texts = ["", " ", "one", "a a a b", cases.prose(3, 80), "Grüße — 漢字 😀 é\n\nGrüße — 漢字 😀 é", cases.LONG[:9000]]
+    texts += ["".join(r.choice(["ab", "C", " ", "\n", "#", "7", ".", "é", "漢", "|", "\t"]) for _ in range(r.randint(1, 200))) for _ in range(60)]
+    for text, row in zip(texts, rule_ensemble.statistics([x.encode() for x in texts]), strict=True):
+        assert dict(zip(rule_ensemble.STATISTICS, row, strict=True)) == pytest.approx(brute_statistics(text)), text
+
+
+def test_lasso_is_optimal():
+    """No weight can be moved to a lower loss: its gradient balances the penalty, or is smaller where it is zero."""
+    random = np.random.default_rng(3)
+    x = (random.random((300, 12)) < 0.4).astype(float)
+    y = (random.random(300) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1] - 0.5)))).astype(float)
+    share, penalty = np.full(300, 1 / 300), 0.01
+    w, b = rule_ensemble.lasso(x, y, share, penalty, steps=6000)
+    error = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
+    gradient = x.T @ error
+    assert abs(error.sum()) < 1e-5 and w[0] > 0.5 and w[1] < -0.5 and (w == 0).any()
+    assert np.allclose(gradient[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-5) and (np.abs(gradient[w == 0]) <= penalty + 1e-5).all()
+
+
+def test_characters_are_code_points_and_equal_runs_share_slots():
+    texts = ["aé漢😀aé漢😀", "", "漢字", "ascii only", "😀"]
+    t = Texts.of([x.encode() for x in texts])
+    letters, doc = quality_rules.characters(t)
+    flat = [(i, c) for i, x in enumerate(texts) for c in x + " "]
+    assert doc.tolist() == [i for i, _ in flat]
+    names = {}
+    assert all(names.setdefault(c, v) == v for (_, c), v in zip(flat, letters.tolist(), strict=True)) and len(set(names.values())) == len(names)
+    for family, order in ((2, 3), (3, 4)):
+        slot, owner = quality_rules.hashed(t, 40)[family]
+        runs = [(i, (x + " ")[k : k + order]) for i, x in enumerate(texts) for k in range(len(x) + 2 - order)]
+        assert owner.tolist() == [i for i, _ in runs]
+        of = {}
+        assert all(of.setdefault(run, s) == s for (_, run), s in zip(runs, slot.tolist(), strict=True)) and len(set(of.values())) == len(of)
+
+
+def test_calibration_is_optimal():
+    random = np.random.default_rng(4)
+    z = random.normal(size=400)
+    y = (random.random(400) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(float)
+    a, b = quality_rules.calibrate(z, y)
+    error = quality_rules.sigmoid(a * z + b) - np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    assert abs((error * z).sum() + 1e-3 * (a - 1)) < 1e-6 and abs(error.sum()) < 1e-6 and 1 < a < 3
+
+
 def test_maximal_segments():
     def brute(s):
         """Recursively: the largest segment (shortest, leftmost), then the two sides."""
