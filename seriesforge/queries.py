@@ -190,7 +190,10 @@ _NAME = Matcher("event_type", "=", "click")
 
 def _store(spark: SparkSession) -> store.Store:
     """A new store in the folder that the cluster shares."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='seriesforge-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or f"file://{tempfile.mkdtemp(prefix='seriesforge-')}"
     return store.Store(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}")
 
 
