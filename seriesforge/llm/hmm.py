@@ -38,6 +38,7 @@ from . import common
 
 BLOCK = 1024  # classes whose counts travel in one row
 FAN = 64  # tasks whose counts are added up first
+SPREAD = 8192  # tokens whose expected counts are added up while a core still has them
 LONGEST = 64  # bytes of a word in the vocabulary, which bounds its size
 
 
@@ -83,10 +84,13 @@ def forward(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     first = (np.cumsum(sizes) - sizes)[order]
     active = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right").tolist()
     total = np.zeros(len(sizes))
-    state = np.tile(model.start, (len(sizes), 1))
+    state, other = np.tile(model.start, (len(sizes), 1)), np.empty((len(sizes), len(model.start)))
+    one = np.ones(len(model.start))
     for t, n in enumerate(active):
-        state = model.emit[ids[first[:n] + t]] * (state[:n] @ model.step if t else state[:n])
-        scale = state.sum(axis=1)
+        if t:
+            state, other = np.matmul(state[:n], model.step, out=other[:n]), state
+        state *= model.emit.take(ids[first[:n] + t], 0, mode="clip")
+        scale = state @ one
         state /= scale[:, None]
         total[:n] += np.log10(scale)
     out = np.empty_like(total)
@@ -97,12 +101,14 @@ def forward(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Expected:
     """Sums of expected counts over whole sequences, at most `most` tokens (or one sequence) at a time."""
 
-    def __init__(self, model: Model, most: int = 400_000) -> None:
+    def __init__(self, model: Model, most: int = 1_000_000) -> None:
         self.model, self.most = model, most
-        k, classes = len(model.step), len(model.emit)
-        self.emit = np.zeros((k, classes))
+        k, classes = model.emit.shape[1], len(model.emit)
+        odd = (0, k % 2)  # counts are added up in pairs, so a state that is never taken makes them even
+        self._emit32, self._step32, self._start32 = (np.pad(x.astype(np.float32), p) for x, p in ((model.emit, ((0, 0), odd)), (model.step, (odd, odd)), (model.start, odd)))
+        self._pairs = np.zeros(classes * (k + k % 2) // 2, np.complex128)
+        self.emit = self._pairs.view(np.float64).reshape(classes, -1)[:, :k].T
         self.step, self.start, self.loss, self.n = np.zeros((k, k)), np.zeros(k), 0.0, 0
-        self._emit32, self._step32, self._start32 = (x.astype(np.float32) for x in (model.emit, model.step, model.start))
 
     def add(self, sequences: list[np.ndarray]) -> None:
         some: list[np.ndarray] = []
@@ -125,32 +131,40 @@ class Expected:
         begin = np.array(at[:-1])
         for j, x in enumerate(sequences):
             ids[begin[: len(x)] + j] = x
-        alpha, scale = np.empty((len(ids), len(self.step)), np.float32), np.empty(len(ids), np.float32)
+        k, wide = len(self.step), len(self._step32)
+        alpha, scale = np.empty((len(ids), wide), np.float32), np.empty(len(ids), np.float32)
+        buffer, one, back = np.empty((int(active[0]), wide), np.float32), np.ones(wide, np.float32), np.ascontiguousarray(self._step32.T)
         for t in range(len(begin)):
-            now = slice(at[t], at[t + 1])
-            x = self._emit32[ids[now]]
-            x *= self._start32 if t == 0 else alpha[at[t - 1] : at[t - 1] + at[t + 1] - at[t]] @ self._step32
-            c = x.sum(axis=1)
-            scale[now] = c
-            np.divide(x, c[:, None], out=alpha[now])
+            now, n = slice(at[t], at[t + 1]), at[t + 1] - at[t]
+            x = self._emit32.take(ids[now], 0, alpha[now], "clip")  # unlike "raise" without a copy
+            x *= np.matmul(alpha[at[t - 1] : at[t - 1] + n], self._step32, out=buffer[:n]) if t else self._start32
+            x /= np.matmul(x, one, out=scale[now])[:, None]
         moved = np.zeros_like(self._step32, np.float64)
-        beta = np.ones((int(active[-1]), len(self.step)), np.float32)
+        beta, left = np.ones((int(active[0]), wide), np.float32), len(ids)
         for t in range(len(begin) - 1, 0, -1):
-            now, n, wide = slice(at[t], at[t + 1]), at[t + 1] - at[t], at[t] - at[t - 1]
-            x = self._emit32[ids[now]] * beta / scale[now, None]
+            now, n = slice(at[t], at[t + 1]), at[t + 1] - at[t]
+            x, after = self._emit32.take(ids[now], 0, buffer[:n], "clip"), beta[:n]
+            x *= after
+            x /= scale[now, None]
             moved += alpha[at[t - 1] : at[t - 1] + n].T @ x
-            alpha[now] *= beta  # the states' probabilities
-            beta = x @ self._step32.T
-            if wide > n:
-                beta = np.concatenate([beta, np.ones((wide - n, len(self.step)), np.float32)])
+            alpha[now] *= after  # the states' probabilities
+            np.matmul(x, back, out=after)
+            if left - at[t] >= SPREAD:
+                self._spread(ids[at[t] : left], alpha[at[t] : left])
+                left = at[t]
         alpha[: at[1]] *= beta
-        self.step += moved * self.model.step
-        self.start += alpha[: at[1]].sum(axis=0)
-        for k in range(len(self.step)):
-            self.emit[k] += np.bincount(ids, alpha[:, k], self.emit.shape[1])
+        self.step += moved[:k, :k] * self.model.step
+        self.start += alpha[: at[1], :k].sum(axis=0)
+        self._spread(ids[:left], alpha[:left])
         self.loss += float(np.log10(scale.astype(float)).sum())
         self.n += len(ids)
 
+    def _spread(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        pair = np.arange(counts.shape[1] // 2)
+        for i in range(0, len(ids), 2 * SPREAD):
+            part = counts[i : i + 2 * SPREAD].reshape(-1).view(np.complex64).astype(np.complex128)
+            np.add.at(self._pairs, (ids[i : i + 2 * SPREAD, None] * len(pair) + pair).reshape(-1), part)
+
 
 def refined(emit: np.ndarray, step: np.ndarray, start: np.ndarray, base: np.ndarray, strength: float) -> Model:
     """The model that expected counts give, with Dirichlet priors: classes' overall rates, and a little everywhere."""
@@ -235,7 +249,7 @@ class HiddenMarkov:
                 yield done(held)
 
         known = coded.select("uid", "doc_id", "held_out", "ids").mapInArrow(run, "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, listed bigint, plain double, chain double")
-        tail = coded.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n", "t.rare")
+        tail = coded.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n", F.col("t.rare") if tails > 1 else F.lit(0.0).alias("rare"))
         seen = counts.where("word is not null").select("word", F.col("n").alias("c"))
         tail = tail.join(seen, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         new = F.col("c") == 0
@@ -282,7 +296,7 @@ class HiddenMarkov:
                 for x in batch.column(0):
                     held.append(np.frombuffer(x.as_py(), "<u2"))
                     size += len(held[-1])
-                    if size > 2_000_000:
+                    if size > 4_000_000:
                         e.add(held)
                         held, size = [], 0
             e.add(held)
@@ -356,23 +370,30 @@ class HiddenMarkov:
         the logarithm of what unseen words of their class have of all unseen ones.
         """
         shared = rows.sparkSession.sparkContext.broadcast((number, log_once.tolist()))  # max_words words of LONGEST bytes at most
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("rare", pa.float64())]))
-        tails = self.tails
+        tails, end = self.tails, np.array(self.tails, "<u2").tobytes()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, logs = shared.value
             for batch in batches:
                 for part, texts in common.slices(batch):
-                    coded, lists = [], []
+                    coded, ends, tail, times, rare = [], [0], [], [], []
                     for x in texts:
                         w = words(x)
                         ids = np.fromiter(map(number.get, w, itertools.repeat(0)), np.uint16, len(w))
-                        other = np.flatnonzero(ids == 0)
-                        tail = [w[i] for i in other.tolist()]
-                        classes = {t: tail_class(t, tails) for t in tail}
-                        ids[other] = [classes[t] for t in tail]
-                        coded.append(np.append(ids, np.uint16(tails)).astype("<u2").tobytes())
-                        lists.append([{"word": t, "n": n, "rare": n * logs[classes[t]]} for t, n in Counter(tail).items()])
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(coded, pa.binary()), pa.array(lists, kind)], ["doc_id", "held_out", "ids", "tail"])
+                        other = np.flatnonzero(ids == 0).tolist()
+                        if other:
+                            counted = Counter(map(w.__getitem__, other))
+                            tail += counted
+                            times += counted.values()
+                            if tails > 1:
+                                classes = {t: tail_class(t, tails) for t in counted}
+                                ids[other] = [classes[w[i]] for i in other]
+                                rare += [n * logs[classes[t]] for t, n in counted.items()]
+                            else:
+                                rare += [n * logs[0] for n in counted.values()]
+                        ends.append(len(tail))
+                        coded.append(ids.astype("<u2").tobytes() + end)
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tail, pa.binary()), pa.array(times, pa.int64()), pa.array(rare, pa.float64())], ["word", "n", "rare"]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(coded, pa.binary()), lists], ["doc_id", "held_out", "ids", "tail"])
 
         return rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id bigint, held_out boolean, ids binary, tail array<struct<word: binary, n: bigint, rare: double>>")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -273,6 +274,55 @@ def test_expectations_of_long_texts():
         assert e.n == sum(map(len, seqs)) and abs(e.loss - loss) < 1e-2
 
 
+def plain_expectations(m, seqs, most):
+    """As Expected did it: sequences' steps together, in batches of at most `most` tokens, longest first; emissions' and steps' counts."""
+    emit32, step32, start32 = (x.astype(np.float32) for x in (m.emit, m.step, m.start))
+    emit, step = np.zeros((len(m.step), len(m.emit))), np.zeros_like(m.step)
+    seqs = sorted(seqs, key=len, reverse=True)
+    while seqs:
+        sizes = np.array([len(x) for x in seqs])
+        sizes = sizes[: max(1, np.searchsorted(np.cumsum(sizes), most, "right"))]
+        some, seqs = seqs[: len(sizes)], seqs[len(sizes) :]
+        alphas, scales, at = [], [], [np.array([x[t] for x in some[: np.searchsorted(-sizes, -t - 1, "right")]]) for t in range(sizes[0])]
+        began = time.process_time()
+        for ids in at:
+            x = emit32[ids]
+            x *= alphas[-1][: len(ids)] @ step32 if alphas else start32
+            scales.append(x.sum(axis=1))
+            alphas.append(x / scales[-1][:, None])
+        beta, moved = np.ones_like(alphas[-1]), np.zeros_like(step)
+        for t in range(len(at) - 1, 0, -1):
+            n = len(at[t])
+            x = emit32[at[t]] * beta / scales[t][:, None]
+            moved += alphas[t - 1][:n].T @ x
+            alphas[t] *= beta
+            beta = np.concatenate([x @ step32.T, np.ones((len(at[t - 1]) - n, len(step)), np.float32)])
+        alphas[0] *= beta
+        step += moved * m.step
+        ids, alpha = np.concatenate(at), np.concatenate(alphas)
+        for k in range(len(step)):
+            emit[k] += np.bincount(ids, alpha[:, k], len(m.emit))
+        plain_expectations.took += time.process_time() - began
+    return emit, step
+
+
+@pytest.mark.parametrize("k", [16, 5])
+def test_expectations_are_fast_and_those_of_a_plain_recursion(k):
+    rng = np.random.default_rng(2)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    m = hmm.Model(norm(rng.random(k)), norm(rng.random((k, k)) ** 4), np.ascontiguousarray(norm(rng.random((k, 50_000)) ** 3).T))
+    seqs = [rng.integers(0, 50_000, int(n)) for n in np.minimum(rng.lognormal(5.6, 1, 2500) + 1, 6000)]
+    ratios = []
+    for _ in range(3):
+        plain_expectations.took = 0.0
+        emit, step = plain_expectations(m, seqs, 400_000)
+        e, began = hmm.Expected(m), time.process_time()
+        e.add(seqs)
+        ratios.append((time.process_time() - began) / plain_expectations.took)
+        assert np.allclose(e.emit, emit, rtol=1e-3, atol=1e-5) and np.allclose(e.step, step, rtol=1e-3) and abs(e.emit.sum() - e.n) < 1e-3 * e.n
+    assert k != 16 or min(ratios) < 0.8, ratios
+
+
 def test_likelihood_rises_and_probabilities_add_up(spark):
     docs = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{(i * k) % (20 + i % 3)}" for k in range(60))) for i in range(90)], "doc_id bigint, text string").repartition(70)
     h = hmm.HiddenMarkov(states=3, max_words=12, tails=2)
