@@ -205,10 +205,10 @@ def _judged(batches: Iterator[pa.RecordBatch], width: int, crowd: int, most: int
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (oid, text, asks): texts of the segments, (key, oid, first window, bytes)."""
+    """Rows (oid, text, asks): texts of the segments, (key, oid, first window, bytes, is the anchor crowded?)."""
     for batch in batches:
         for part, texts in common.slices(batch):
-            keys, oids, firsts, bodies = [], [], [], []
+            keys, oids, firsts, bodies, crowded = [], [], [], [], []
             for oid, text, asks in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), strict=True):
                 for ask in asks:
                     first, ahead, more = ask["start"] >> 16, ask["start"] >> 8 & 255, ask["start"] & 255
@@ -225,7 +225,8 @@ def _fetched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                         oids.append(oid)
                         firsts.append(first + a)
                         bodies.append(text[first + a : first + b + width])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(oids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(bodies, pa.binary())], ["key", "oid", "first", "body"])
+                        crowded.append(ask["end"] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(oids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(bodies, pa.binary()), pa.array(crowded, pa.bool_())], ["key", "oid", "first", "body", "crowded"])
 
 
 def repeated(oid: np.ndarray, first: np.ndarray, bodies: list[bytes], width: int) -> tuple[np.ndarray, ...]:
@@ -323,24 +324,22 @@ def removed(rows: DataFrame, width: int, crowd: int) -> DataFrame:
     judged = common.staged(judged, "judged")
     asked = judged.where("h is not null")
 
-    def fetched(asks: DataFrame) -> DataFrame:
-        asks = asks.groupBy("oid").agg(F.collect_list(F.struct("h", "start", "end")).alias("asks"))
-        texts = rows.select("oid", "text").join(asks, "oid").select("oid", "text", "asks")
-        return texts.mapInArrow(lambda b: _fetched(b, width), "key bigint, oid bigint, first bigint, body binary")
+    asks = asked.groupBy("oid").agg(F.collect_list(F.struct("h", "start", "end")).alias("asks"))
+    texts = rows.select("oid", "text").join(asks, "oid").select("oid", "text", "asks")
+    # crowded or not, segments are fetched at once and kept, so that texts travel once to here, and once to their spans
+    bodies = common.staged(texts.mapInArrow(lambda b: _fetched(b, width), "key bigint, oid bigint, first bigint, body binary, crowded boolean"), "segments", compression="zstd")
 
     def ordered(bodies: DataFrame) -> DataFrame:
         return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, width), "oid bigint, start bigint, end bigint")
 
     spans = judged.where("h is null").select("oid", "start", "end")
-    if asked.where("end = 1").isEmpty():
-        return spans.unionByName(ordered(fetched(asked)))
-    parts = common.staged(fetched(asked.where("end = 1")), "crowded-segments")
+    parts, others = (bodies.where(x).drop("crowded") for x in ("crowded", "not crowded"))
     hot = common.staged(parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
     number = hot.count()
-    hot = F.broadcast(hot) if number <= BROADCAST_KEYS else hot
-    spans = spans.unionByName(ordered(fetched(asked.where("end = 0")).unionByName(parts.join(hot, "key", "left_anti"))))
     if not number:
-        return spans
+        return spans.unionByName(ordered(bodies.drop("crowded")))
+    hot = F.broadcast(hot) if number <= BROADCAST_KEYS else hot
+    spans = spans.unionByName(ordered(others.unionByName(parts.join(hot, "key", "left_anti"))))
     windows = parts.join(hot, "key", "left_semi").mapInArrow(lambda b: _windows(b, width), "oid bigint, start bigint, body binary")
     windows = common.staged(windows, "crowded-windows")
     candidates = windows.where("body is not null")

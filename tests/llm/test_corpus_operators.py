@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -329,6 +330,22 @@ def test_crowded_anchors(spark):
         suffix_dedup.spans(docs, 20)
 
 
+def test_texts_travel_once_to_segments_and_once_to_spans(spark, monkeypatch):
+    """Crowded anchors and others, with and without crowded parts: one step that fetches segments, two exchanges of texts."""
+    fixed = cases.prose(5, 40)[:150]
+    rows = [(i, cases.prose(3000 + i, 15) + fixed + cases.prose(7000 + i // 2, 40)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want, staged = removal(rows, 100), common.staged
+    for crowd in (4096, 50, 5):
+        plans = []
+        monkeypatch.setattr(common, "staged", lambda df, name, **options: plans.append(df) or staged(df, name, **options))
+        got = suffix_dedup.spans(docs, 100, crowd)
+        plans = [str(x._jdf.queryExecution().sparkPlan()) for x in [*plans, got]]
+        assert sum(len(re.findall(r"MapInArrow[^\n]*asks#", x)) for x in plans) == 1
+        assert sum(len(re.findall(r"Join \[oid#", x)) for x in plans) == 2
+        assert {tuple(r) for r in got.collect()} == {(i, *want[i, t][:4]) for i, t in rows}
+
+
 def test_judgements_of_cut_anchors():
     import pyarrow as pa
 
