@@ -64,7 +64,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed memory back to the system, which else stays with workers that wait for their next task."""
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -83,7 +83,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         size += n
     if first < batch.num_rows:
         yield batch.slice(first), texts(column.slice(first))
-    _trim()
+    trim()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, keep: Column | None = None) -> DataFrame:

@@ -9,6 +9,9 @@ common prefix with the one queued before it, from range minima over the prefixes
 
 Prefixes are followed to `depth` symbols: suffixes that agree that far are in no defined order, and their common prefix
 is given as `depth`.
+
+Memory: text, order and common prefixes are held whole, with seven symbols packed for each place: about 16 bytes a symbol.
+Places are of 4 bytes, and what is computed on the way takes AT_ONCE of them at a time, apart from naming the sample.
 """
 
 from __future__ import annotations
@@ -18,14 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import trim
+
+
+#: Places that a step takes at once: its temporary arrays stay small beside the text.
+AT_ONCE = 1 << 18
+
 
 def types(text: np.ndarray) -> np.ndarray:
     """True for S. The end of the text is smaller than any symbol."""
-    n = len(text)
-    turn = np.sign(np.diff(text.astype(np.int16), append=np.int16(-1)))
-    at = np.where(turn != 0, np.arange(n), n)
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return turn[following] > 0
+    out = np.zeros(len(text), bool)
+    np.less(text[:-1], text[1:], out=out[:-1])
+    same = np.flatnonzero(text[:-1] == text[1:])
+    if len(same):  # as the symbol behind the run of equal ones
+        last = np.append(np.flatnonzero(np.diff(same) != 1), len(same) - 1)
+        out[same] = np.repeat(out[same[last] + 1], np.diff(last, prepend=-1))
+    return out
 
 
 #: Symbols in one whole number: 7 of 9 bits.
@@ -37,7 +48,7 @@ class Packed:
 
     def __init__(self, text: np.ndarray) -> None:
         self.n = len(text)
-        whole = np.zeros(self.n + PACK, np.int64)
+        whole = np.zeros(self.n + PACK, np.uint16)
         whole[: self.n] = text
         whole[: self.n] += 1  # the end is no symbol
         self.words = np.zeros(self.n + 1, np.int64)
@@ -47,6 +58,10 @@ class Packed:
 
     def common_prefix(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         """Of the suffixes at a and b, to `depth` at most."""
+        parts = [self._common_prefix(a[i : i + AT_ONCE], b[i : i + AT_ONCE], depth) for i in range(0, len(a), AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _common_prefix(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         out = np.full(len(a), depth, np.int64)
         left = np.arange(len(a))
         for k in range(0, depth, PACK):
@@ -68,43 +83,65 @@ class Packed:
 
 def names(text: np.ndarray, s: np.ndarray, sample: np.ndarray) -> np.ndarray:
     """Ranks of the sample's substrings, each up to the next sample suffix; symbols with types, six in a column."""
-    n = len(text)
-    ends = np.append(sample[1:], n - 1)
-    symbols = np.concatenate([text.astype(np.int16) * np.int16(2) + s + np.int16(1), np.zeros(6, np.int16)])
-    rank = np.zeros(len(sample), np.int64)
-    left = np.arange(len(sample))
+    n, kind = len(text), sample.dtype
+    ends = np.append(sample[1:], kind.type(n - 1))
+    symbols = np.zeros(n + 6, np.int16)
+    symbols[:n] = text
+    symbols[:n] *= 2
+    symbols[:n] += s
+    symbols[:n] += 1
+    rank = np.zeros(len(sample), kind)
+    left = np.arange(len(sample), dtype=kind)
     column = 0
     while len(left):
         key = np.zeros(len(left), np.int64)
-        for k in range(column, column + 6):
-            at = sample[left] + k
-            key = key << 10 | np.where(at <= ends[left], symbols[np.minimum(at, n)], np.int16(0))
-        order = np.lexsort((key, rank[left]))
-        r, v = rank[left][order], key[order]
-        fresh = np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])])
+        for i in range(0, len(left), AT_ONCE):
+            some, part = left[i : i + AT_ONCE], key[i : i + AT_ONCE]
+            first, last = sample[some] + column, ends[some]
+            for k in range(6):
+                at = first + k
+                part <<= 10
+                part |= np.where(at <= last, symbols[np.minimum(at, n)], np.int16(0))
+        r = rank[left]
+        order = np.lexsort((key, r))
+        left, r, key = left[order], r[order], key[order]
+        del order
         group = np.concatenate([[True], r[1:] != r[:-1]])
+        fresh = group | np.concatenate([[True], key[1:] != key[:-1]])
+        del key
         # a rank is the number of substrings before its group, so refining one group leaves all others as they are
-        start = np.maximum.accumulate(np.where(group, np.arange(len(r)), 0))
-        number = np.maximum.accumulate(np.where(fresh, np.arange(len(r)), 0)) - start
-        rank[left[order]] = r + number
-        tied = np.diff(np.append(np.flatnonzero(fresh), len(r))) > 1
-        tied = np.repeat(tied, np.diff(np.append(np.flatnonzero(fresh), len(r))))
+        places = np.arange(len(r), dtype=kind)
+        r += np.maximum.accumulate(places * fresh)
+        r -= np.maximum.accumulate(places * group)
+        rank[left] = r
+        del places, group, r
         column += 6
-        left = np.sort(left[order[tied]])
+        left = np.sort(left[~(fresh & np.append(fresh[1:], True))])  # the tied ones
         left = left[sample[left] + column <= ends[left]]
     return rank
 
 
+def _dense(key: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Numbers from 0 on, in the order of the keys and equal for equal ones."""
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), kind)
+    out[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])[: len(key)], dtype=kind)
+    return out
+
+
 def ordered_names(rank: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of a string of names, by doubling until they differ or agree in `depth` names."""
-    _, rank = np.unique(rank, return_inverse=True)
+    kind = rank.dtype
+    rank = _dense(rank, kind)
     n, step = len(rank), 1
     while step < depth and n:
-        behind = np.zeros(n, np.int64)
-        behind[:-step or None] = rank[step:] + 1 if step < n else 0
-        if step >= n:
-            behind[:] = 0
-        _, rank = np.unique(rank * (n + 1) + behind, return_inverse=True)
+        key = rank.astype(np.int64)
+        key *= n + 1
+        if step < n:
+            key[:-step] += rank[step:]
+            key[:-step] += 1
+        rank = _dense(key, kind)
         if rank.max(initial=0) == n - 1:
             break
         step *= 2
@@ -134,9 +171,9 @@ class Minima:
 class Queues:
     """A first-in first-out queue per symbol, of (suffix, common prefix with the one before it)."""
 
-    def __init__(self, symbols: int, memory: int) -> None:
+    def __init__(self, symbols: int, memory: int, kind: np.dtype) -> None:
         self.parts: list[list] = [[] for _ in range(symbols)]
-        self.memory, self.held, self.file = memory, 0, None
+        self.memory, self.kind, self.held, self.file = memory, np.dtype(kind), 0, None
 
     def put(self, symbol: int, at: np.ndarray, prefix: np.ndarray) -> None:
         self.parts[symbol].append((at, prefix))
@@ -163,7 +200,7 @@ class Queues:
             a, b = parts.pop(0)
             if isinstance(a, int):
                 self.file.seek(a)
-                a, b = np.frombuffer(self.file.read(8 * b), np.int64), np.frombuffer(self.file.read(b), np.uint8)
+                a, b = np.frombuffer(self.file.read(self.kind.itemsize * b), self.kind), np.frombuffer(self.file.read(b), np.uint8)
             else:
                 self.held -= a.nbytes + b.nbytes
             yield a, b
@@ -178,6 +215,10 @@ class Sweep:
 
     def extract(self, at: np.ndarray, prefix: np.ndarray, low: int, high: int) -> None:
         """`at` in sweep order, with common prefixes with those before; predecessors with symbols in low..high follow."""
+        for i in range(0, len(at), AT_ONCE):
+            self._extract(at[i : i + AT_ONCE], prefix[i : i + AT_ONCE], low, high)
+
+    def _extract(self, at: np.ndarray, prefix: np.ndarray, low: int, high: int) -> None:
         source = np.flatnonzero(at > 0)
         symbol = self.text[at[source] - 1]
         fits = (symbol >= low) & (symbol <= high)
@@ -211,19 +252,28 @@ def suffix_order(text: np.ndarray, depth: int = 100, memory: int = 64 << 20) ->
     if text.max() >= (1 << BITS) - 1:
         raise ValueError("symbols must stay below 511")
     text = np.asarray(text, np.uint16)  # numbers of 16 bits are sorted by radix
-    packed = Packed(text)
+    kind = np.int32 if n < 1 << 30 else np.int64
     s = types(text)
-    sample = np.flatnonzero(s & np.concatenate([[False], ~s[:-1]]))
+    sample = np.flatnonzero(s & np.concatenate([[False], ~s[:-1]])).astype(kind)
     sample = sample[ordered_names(names(text, s, sample), depth)] if len(sample) else sample
-    shared = packed.common_prefix(sample[:-1], sample[1:], depth) if len(sample) else np.zeros(0)
-    shared = np.concatenate([[0], shared]).astype(np.uint8)[: len(sample)]
+    del s
+    trim()
+    packed = Packed(text)
+    sampled = np.zeros(len(sample), np.uint8)
+    sampled[1:] = packed.common_prefix(sample[:-1], sample[1:], depth)
     symbols = int(text.max()) + 1
-    cut = np.searchsorted(text[sample], np.arange(symbols + 1))
-    larger: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(symbols)]
-    queues = Queues(symbols, memory)
+    cut = np.searchsorted(text[sample], np.arange(symbols + 1, dtype=np.uint16))
+    begin = np.zeros(symbols + 1, np.int64)
+    for i in range(0, n, AT_ONCE):
+        begin[1:] += np.bincount(text[i : i + AT_ONCE], minlength=symbols)
+    begin = np.cumsum(begin)
+    # of each symbol first the L suffixes, rising, then the S suffixes, which are found falling
+    suffix, shared = np.zeros(n, kind), np.zeros(n + 1, np.uint8)
+    larger = begin[:-1].copy()  # where a symbol's L suffixes end
+    queues = Queues(symbols, memory, kind)
     sweep = Sweep(text, queues, depth)
     # the last suffix is of type L and smaller than all others with its symbol
-    queues.put(int(text[-1]), np.array([n - 1]), np.zeros(1, np.uint8))
+    queues.put(int(text[-1]), np.array([n - 1], kind), np.zeros(1, np.uint8))
     pair = lambda a, b: packed.common_prefix(np.array([a]), np.array([b]), depth).astype(np.uint8)
 
     for c in range(symbols):
@@ -236,34 +286,31 @@ def suffix_order(text: np.ndarray, depth: int = 100, memory: int = 64 << 20) ->
                 prefix = prefix.copy()
                 prefix[:1] = pair(last, at[0])
             last = int(at[-1])
-            larger[c].append((at, prefix))
+            a, b = larger[c], larger[c] + len(at)
+            suffix[a:b], shared[a:b], larger[c] = at, prefix, b
             sweep.extract(at, prefix, c, symbols)
-        at, prefix = sample[cut[c] : cut[c + 1]], shared[cut[c] : cut[c + 1]].copy()
+        at, prefix = sample[cut[c] : cut[c + 1]], sampled[cut[c] : cut[c + 1]]
         if len(at):
             prefix[0] = pair(last, at[0])[0] if last >= 0 else 0
             sweep.extract(at, prefix, c + 1, symbols)
-    queues = Queues(symbols, memory)
+    del sample, sampled
+    queues = Queues(symbols, memory, kind)
     sweep = Sweep(text, queues, depth)
-    order, between = [], []
     for c in range(symbols - 1, -1, -1):
-        last = -1
-        small: list[tuple[np.ndarray, np.ndarray]] = []
+        last, b = -1, begin[c + 1]
         for at, prefix in queues.take(c):  # from the largest S suffix on
             if last < 0:
                 prefix = prefix.copy()
                 prefix[0] = 0
             last = int(at[-1])
-            small.append((at, prefix))
+            a = b - len(at)
+            # each one's prefix is that with the one above it, where it belongs
+            suffix[a:b], shared[a + 1 : b + 1], b = at[::-1], prefix[::-1], a
             sweep.extract(at, prefix, 0, c)
-        at = np.concatenate([a for a, _ in larger[c]]) if larger[c] else np.zeros(0, np.int64)
-        rising = np.concatenate([p for _, p in larger[c]]) if larger[c] else np.zeros(0, np.uint8)
+        at, rising = suffix[begin[c] : larger[c]], shared[begin[c] : larger[c]]
         link = pair(last, at[-1])[0] if last >= 0 and len(at) else 0
+        if last >= 0:
+            shared[b] = link
         if len(at):  # falling: each one's prefix with the one above it
             sweep.extract(at[::-1], np.concatenate([[link], rising[:0:-1]]).astype(np.uint8), 0, c - 1)
-        s_at = np.concatenate([a for a, _ in small])[::-1] if small else np.zeros(0, np.int64)
-        falling = np.concatenate([p for _, p in small]) if small else np.zeros(0, np.uint8)
-        s_rising = np.concatenate([[link], falling[:0:-1]]).astype(np.uint8)[: len(s_at)]
-        order.append(np.concatenate([at, s_at]))
-        between.append(np.concatenate([rising, s_rising]))
-        larger[c] = []
-    return np.concatenate(order[::-1]), np.concatenate(between[::-1])
+    return suffix, shared[:-1]

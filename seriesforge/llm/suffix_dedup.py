@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .induced_sort import suffix_order
+from .induced_sort import AT_ONCE, suffix_order
 from .textstats import mix, powers, prefix_hash, span_hash
 
 GRAM = 24
@@ -121,23 +121,31 @@ def _merged_by(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 def _found(batches: Iterator[pa.RecordBatch], width: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Rows (h, c, oid, at): a first segment with at = start, distances packed; or a removed span with c = -1 - end, at = start."""
 
-    def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, c, oid, first, ahead, more = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((first, oid, c, h))
-        again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])])[: len(order)]
+    def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, c, oid, at = (np.concatenate([x.pop(0) for x in held]) for _ in range(4))
+        held.clear()
+        order = np.lexsort((at, oid, c, h))
+        again = np.zeros(len(order), bool)
+        for x in (h, c):  # sorted one after the other, in place
+            x[:] = x[order]
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
         dup, one = order[again], order[~again]
-        d, a, b = _merged_by(oid[dup], first[dup], first[dup] + more[dup] + width)
-        yield from _rows((h[one], c[one], oid[one], first[one] << 16 | ahead[one] << 8 | more[one]))
+        del order
+        first = at[dup] >> 16
+        d, a, b = _merged_by(oid[dup], first, first + (at[dup] & 255) + width)
+        rows = h[~again], c[~again], oid[one], at[one]
+        del h, c, oid, at, again, dup, one, first
+        common.trim()
+        yield from _rows(rows)
         yield from _rows((d * 31, -1 - b, d, a))
 
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         for part, texts in common.slices(batch):
             h, c, doc, first, ahead, more = segments(texts, width)
-            held.append((h, c, part.column(0).to_numpy()[doc], first, ahead, more))
+            held.append([h, c, part.column(0).to_numpy()[doc], first << 16 | ahead << 8 | more])
         if sum(len(x[0]) for x in held) > most:
             yield from out(held)
-            held = []
     if held:
         yield from out(held)
 
@@ -238,13 +246,15 @@ def repeated(oid: np.ndarray, first: np.ndarray, bodies: list[bytes], width: int
     begin = np.cumsum(sizes + 1) - sizes - 1
     inside = np.ones(len(text), bool)
     inside[begin + sizes] = False
-    text[inside] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint16) + np.uint16(1)
+    text[inside] = np.frombuffer(b"".join(bodies), np.uint8)
+    text += inside
+    del bodies, inside
     window = np.ones(len(text), bool)
     for k in range(width):  # the last places of a segment begin no window
         window[begin + sizes - k] = False
     suffix, shared = suffix_order(text, width)
-    keep = window[suffix]
-    group = np.cumsum(shared < width)[keep]
+    keep = np.concatenate([window[suffix[i : i + AT_ONCE]] for i in range(0, len(suffix), AT_ONCE)] or [window])
+    group = np.cumsum(shared < width, dtype=suffix.dtype)[keep]
     suffix = suffix[keep]
     if not len(suffix):
         return (np.zeros(0, np.int64),) * 3
@@ -262,16 +272,21 @@ def _sorted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
     def out() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        spans = repeated(t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist(), width)
+        columns = t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist()
+        del t
+        held.clear()
+        spans = repeated(*columns, width)
+        del columns
+        common.trim()
         return _rows(spans, ("oid", "start", "end"))
 
     size = 0
     for batch, _ in _groups(batches, most=1 << 62):  # `crowd` segments a key at most
+        if held and size + batch.column(3).nbytes > SHARD:
+            yield from out()
+            size = 0
         held.append(batch)
         size += batch.column(3).nbytes
-        if size > SHARD:
-            yield from out()
-            held, size = [], 0
     if held:
         yield from out()
 

@@ -258,6 +258,53 @@ def test_suffix_order():
             assert shared[k] == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
 
 
+def test_suffix_order_in_small_steps(monkeypatch):
+    r = random.Random(10)
+    for it in range(150):
+        t = np.array([r.randint(0, r.choice([1, 2, 200])) for _ in range(r.randint(1, 150))] * r.choice([1, 1, 3]))
+        depth = r.choice([5, 100])
+        want = induced_sort.suffix_order(t, depth)
+        with monkeypatch.context() as m:
+            m.setattr(induced_sort, "AT_ONCE", r.choice([1, 7, 40]))
+            got = induced_sort.suffix_order(t, depth, 64 if it % 2 else 1 << 30)
+        assert all(np.array_equal(x, y) for x, y in zip(want, got, strict=True))
+        key = lambda i: t[i : i + depth].tolist()  # noqa: B023, E731
+        assert [key(i) for i in got[0]] == sorted(key(i) for i in range(len(t)))
+
+
+def test_suffix_sort_memory():
+    """Two tasks of an executor sort shards of 8 MB at once: at most 32 bytes for each byte of text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    text = b" ".join(words[i] for i in rng.integers(0, len(words), 320_000))
+    bodies = [text[i : i + 170] for i in range(0, len(text), 170)]
+    bodies = [x for x in bodies if len(x) >= 100] + bodies[:50]
+    tracemalloc.start()
+    try:
+        spans = suffix_dedup.repeated(np.arange(len(bodies)), np.zeros(len(bodies), np.int64), bodies, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [x.tolist() for x in spans] == [list(range(len(bodies) - 50, len(bodies))), [0] * 50, [170] * 50]
+    assert peak < 32 * sum(map(len, bodies)), peak / sum(map(len, bodies))
+
+
+def test_shards_stay_within_their_size(monkeypatch):
+    import pyarrow as pa
+
+    sizes, real = [], suffix_dedup.repeated
+    monkeypatch.setattr(suffix_dedup, "SHARD", 4000)
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda oid, first, bodies, width: sizes.append(sum(map(len, bodies))) or real(oid, first, bodies, width))
+    body = [hashlib.sha512(bytes([k // 2 % 256])).hexdigest().encode() for k in range(100)]  # 128 bytes, each twice in a row
+    columns = [pa.array([k // 2 for k in range(100)], pa.int64()), pa.array(range(100), pa.int64()), pa.array([0] * 100, pa.int64()), pa.array(body, pa.binary())]
+    rows = pa.RecordBatch.from_arrays(columns, ["key", "oid", "first", "body"])
+    out = [x for b in suffix_dedup._sorted(iter([rows.slice(i, 20) for i in range(0, 100, 20)]), 100) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(out) == [(k, 0, 128) for k in range(1, 100, 2)]
+    assert sum(sizes) == 12_800 and max(sizes) <= 4000
+
+
 def removal(rows, width):
     """Brute force over (doc_id, text) in order; equal rows are one document."""
     seen, out = set(), {}
