@@ -98,7 +98,11 @@ WITH_PREVIOUS = {"rate", "increase", "delta", "irate", "idelta", "changes", "res
 
 
 def over_range(samples: DataFrame, labels: list[str], grid: Grid, window: int, name: str, parameter: Column | None = None) -> DataFrame:
-    """step, value: a range function of each series over (step - window, step]."""
+    """step, value: a range function of each series over (step - window, step].
+
+    `samples` may hold several of one series and time, all of which count, in the order of their `tie`; the first and the
+    last of a window are the ones with the least.
+    """
     keys = [label(x) for x in labels]
     if "is_stale" in samples.columns:
         samples = samples.where("not is_stale")
@@ -106,9 +110,11 @@ def over_range(samples: DataFrame, labels: list[str], grid: Grid, window: int, n
     if name in _SLIDING and window % grid.step == 0 and window // grid.step >= MANY_STEPS and grid.last > grid.start:
         return sliding(rows, labels, grid, window, name)
     if name in WITH_PREVIOUS:
-        order = Window.partitionBy(*keys).orderBy("ts_ms")
+        order = Window.partitionBy(*keys).orderBy("ts_ms", *(["tie"] if "tie" in samples.columns else []))
         pv, v = F.lag("value").over(order), F.col("value")
         rows = rows.withColumn("pv", pv).withColumn("pt", F.lag("ts_ms").over(order))
+        again = (F.coalesce(F.col("pt"), F.col("ts_ms") - 1) == F.col("ts_ms")).cast("int")
+        rows = rows.withColumns({"early": F.col("ts_ms") * 2 + again, "late": F.col("ts_ms") * 2 - again})
         changed = (v != F.col("pv")) & ~(F.isnan("value") & F.isnan("pv"))
         rows = rows.withColumn("reset", F.coalesce(F.when(ieee.compare("<", v, F.col("pv")), F.col("pv")), F.lit(0.0)))
         rows = rows.withColumn("fell", F.coalesce((F.col("reset") != 0) | ieee.compare("<", v, F.col("pv")), F.lit(False)).cast("double")).withColumn("changed", F.coalesce(changed, F.lit(False)).cast("double"))
@@ -129,18 +135,18 @@ def over_range(samples: DataFrame, labels: list[str], grid: Grid, window: int, n
         x = (F.col("ts_ms") - F.col("step")) / 1000.0
         slope, level = F.regr_slope(v, x), F.regr_intercept(v, x)
         value = slope if name == "deriv" else level + slope * F.max(parameter)
-        return group.agg(value.alias("value"), F.count("*").alias("n")).where("n > 1").select("step", "value", *keys)
+        return group.agg(F.coalesce(value, F.lit(ieee.NAN)).alias("value"), F.count("*").alias("n")).where("n > 1").select("step", "value", *keys)
     if name in ("irate", "idelta"):
-        last = F.max_by(F.struct("value", "ts_ms", "pv", "pt", "reset"), "ts_ms").alias("x")
+        last = F.max_by(F.struct("value", "ts_ms", "pv", "pt", "reset"), "late").alias("x")
         found = group.agg(last).where(F.col("x.pt") > F.col("step") - window)
         change = F.col("x.value") - F.col("x.pv")
         value = F.when(F.col("x.value") < F.col("x.pv"), F.col("x.value")).otherwise(change) / ((F.col("x.ts_ms") - F.col("x.pt")) / 1000.0) if name == "irate" else change
         return found.select("step", value.alias("value"), *keys)
     if name in ("changes", "resets"):
         c = "changed" if name == "changes" else "fell"
-        return group.agg((F.sum(c) - F.min_by(c, "ts_ms")).alias("value")).select("step", "value", *keys)
+        return group.agg((F.sum(c) - F.min_by(c, "early")).alias("value")).select("step", "value", *keys)
     # rate, increase, delta: the change between first and last sample, extrapolated towards the window's edges
-    first, last = F.min_by(F.struct("value", "ts_ms", "reset"), "ts_ms").alias("a"), F.max_by(F.struct("value", "ts_ms"), "ts_ms").alias("b")
+    first, last = F.min_by(F.struct("value", "ts_ms", "reset"), "early").alias("a"), F.max_by(F.struct("value", "ts_ms"), "late").alias("b")
     found = group.agg(first, last, F.count("*").alias("n"), F.sum("reset").alias("resets")).where("n > 1")
     counter = name != "delta"
     change = F.col("b.value") - F.col("a.value") + (F.col("resets") - F.col("a.reset") if counter else 0)
@@ -152,5 +158,5 @@ def over_range(samples: DataFrame, labels: list[str], grid: Grid, window: int, n
     if counter:  # a counter does not fall below zero
         zero = F.col("sampled") * ieee.divide(F.col("v0"), F.col("change"))
         before = F.when((F.col("change") > 0) & (F.col("v0") >= 0) & (zero < before), zero).otherwise(before)
-    value = F.col("change") * ((F.col("sampled") + before + edge(F.col("behind"))) / F.col("sampled"))
+    value = F.col("change") * ieee.divide(F.col("sampled") + before + edge(F.col("behind")), F.col("sampled"))  # all samples may be of one time
     return found.select("step", (value / (window / 1000.0) if name == "rate" else value).alias("value"), *keys)

@@ -127,7 +127,7 @@ class Compiler:
     def ranged(self, e: Selector | Subquery, grid: Grid, name: str, parameter: Column | None = None) -> Vector:
         own, _ = self.pinned(e.at, e.offset, grid)
         if isinstance(e, Selector):
-            samples, labels = self.storage.select(list(e.matchers), own.start - e.window + 1, own.last, by_series=name in windows.WITH_PREVIOUS), self.storage.labels
+            samples, labels = self.storage.select(list(e.matchers), own.start - e.window + 1, own.last, by_series=name in windows.WITH_PREVIOUS, every=name != "last_over_time"), self.storage.labels
         else:
             step = e.step or self.subquery_step
             start = ((own.start - e.window) // step + 1) * step
@@ -169,7 +169,7 @@ class Compiler:
             case Call() if e.name in histograms.OVER_RANGE and isinstance(e.args[0], Selector):
                 x = e.args[0]
                 own, _ = self.pinned(x.at, x.offset, grid)
-                samples = self.storage.select(list(x.matchers), own.start - x.window + 1, own.last, by_series=True, kind=HIST)
+                samples = self.storage.select(list(x.matchers), own.start - x.window + 1, own.last, by_series=True, kind=HIST, every=e.name in ("sum_over_time", "avg_over_time"))
                 rows = histograms.over_range(samples, self.storage.labels, own, x.window, e.name)
                 v = Vector(self.back(rows, x.at, x.offset, grid), self.storage.labels)
                 return v if e.name == "last_over_time" else v.with_value(F.col("value"))

@@ -29,7 +29,7 @@ def shown(df: DataFrame, labels: list[str], digits: int = 8) -> DataFrame:
 
 def query(text: str, source: Callable[[SparkSession, str], DataFrame] = tables.events, grid: Grid = DAILY, lookback: int = LOOKBACK) -> Builder:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = compile_query(Storage(source(spark, sf_dir), lookback_ms=lookback), text, grid)
+        q = compile_query(Storage(source(spark, sf_dir), lookback_ms=lookback, every=source in tables.EVERY), text, grid)
         return shown(q.df, q.labels)
 
     return run

@@ -46,6 +46,10 @@ def event_histograms_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_histograms(spark, sf_dir).withColumn(column(NAME), F.lit("event_sizes_by_type")).drop(column("user_id"))
 
 
+#: Sources whose series hold several events of one time, which all count in range functions.
+EVERY = (events_by_type, event_histograms_by_type)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_price{orderstatus, orderpriority}."""
     return _table(spark, sf_dir, "orders").select(
