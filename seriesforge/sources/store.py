@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import DAY_MS, HIST, SLOT_MS, Interval, QueryError, column, day_of, day_start, days, label, label_columns, series_id, slot
+from ..model import DAY_MS, HIST, SLOT_MS, STORED_TIME, Interval, QueryError, column, day_of, day_start, days, label, label_columns, series_id, slot
 from ..operators.select import Storage
 
 BLOCKS = "stream_hash bigint, day date, version int, mint bigint, maxt bigint, series bigint, samples bigint, sources array<string>, write string, deletion_marked_at bigint"
 STREAMS = "stream_hash bigint, external_labels string"
+#: Samples that a task of a conversion sorts and writes.
+ROWS_A_TASK = 1 << 19
 
 
 def day_column() -> Column:
@@ -132,7 +134,8 @@ class Store:
     def convert(self, samples: DataFrame, external: dict[str, str], sources: list[str], low: int | None = None, high: int | None = None, sort_labels: tuple[str, ...] = ("__name__",), series_per_file: int = 1_000_000) -> list[date]:
         """Write the days of `samples` (in [low, high)) as blocks of one stream; equal series and times are merged.
 
-        Days that the stream has already are merged with what they hold.
+        Days that the stream has already are merged with what they hold. Samples and series are merged apart, by day and
+        series_id, so neither is joined with the other. `samples` is read three times (days, samples, series), not kept.
         """
         stream = stream_hash(self.spark, external)
         known = self.streams()
@@ -144,38 +147,65 @@ class Store:
             samples = samples.where(F.col("ts_ms") < high)
         for n in label_columns(samples.columns):  # absent and empty are one
             samples = samples.withColumn(column(n), F.when(label(n) != "", label(n)))
-        there = [r for r in self.blocks().where((F.col("stream_hash") == stream) & F.col("deletion_marked_at").isNull()).collect()]
-        if there:
-            touched = {r["day"] for r in samples.select(day_column().alias("day")).distinct().collect()}
-            there = [r for r in there if r["day"] in touched]
-        if there:
-            old = self._joined(there).drop("stream_hash", "day", "series_id", "write")
-            new = samples.select("ts_ms", "value", *([HIST] if HIST in samples.columns else []), *(["is_stale"] if "is_stale" in samples.columns else [F.lit(False).alias("is_stale")]), *(label(n) for n in label_columns(samples.columns)))
-            samples = old.unionByName(new, allowMissingColumns=True)
-        names = label_columns(samples.columns)
-        write = f"w{uuid.uuid4().hex}"
-        kinds = ["value", *([HIST] if HIST in samples.columns else [])]
-        merged = Storage(samples).select([], kind="both")
-        if HIST in kinds:
-            merged = merged.select("ts_ms", "value.value", f"value.{HIST}", "is_stale", *(label(x) for x in names))
-        rows = merged.withColumn("series_id", series_id(names)).withColumn("day", day_column()).withColumn("stream_hash", F.lit(stream)).withColumn("write", F.lit(write)).withColumn("slot", slot(F.col("ts_ms"))).persist()
-        order = [label(x) for x in sort_labels if x in names]
-        counts = rows.groupBy("day").agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"), F.count("*").alias("samples"), F.countDistinct("series_id").alias("series")).collect()
-        if not counts:
-            rows.unpersist()
+        sizes = {r["day"]: r["n"] for r in samples.groupBy(day_column().alias("day")).agg(F.count("*").alias("n")).collect()}
+        if not sizes:
             raise QueryError("no series to convert", "bad_request")
-        parts = ("write", "stream_hash", "day")
-        series = rows.groupBy(*parts, "series_id", *(label(x) for x in names)).agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"))
-        series.repartitionByRange("day", *order, "series_id").sortWithinPartitions("day", *order, "series_id").write.option("maxRecordsPerFile", series_per_file).option("parquet.bloom.filter.enabled#l___name__", "true").mode("append").partitionBy(*parts).parquet(f"{self.root}/series")
-        values = rows.select(*parts, "series_id", "slot", "ts_ms", *kinds, "is_stale")
-        values.repartitionByRange("day", "series_id").sortWithinPartitions("day", "series_id", "ts_ms").write.mode("append").partitionBy(*parts).parquet(f"{self.root}/samples")
-        rows.unpersist()
+        there = [r for r in self.blocks().where((F.col("stream_hash") == stream) & F.col("deletion_marked_at").isNull()).collect() if r["day"] in sizes]
+        for r in there:
+            sizes[r["day"]] += r["samples"]
+        write = f"w{uuid.uuid4().hex}"
+        self._write_samples(samples, there, sizes, write, stream)
+        self._write_series(samples, there, write, stream, sort_labels, series_per_file)
+        written = lambda name: self.spark.read.schema("ts_ms bigint, day date").parquet(f"{self.root}/{name}/write={write}").groupBy("day")
+        series = {r["day"]: r["n"] for r in written("series").agg(F.count("*").alias("n")).collect()}
+        counts = written("samples").agg(F.min("ts_ms").alias("mint"), F.max("ts_ms").alias("maxt"), F.count("*").alias("samples")).collect()
         if stream not in known:
             self.spark.createDataFrame([(stream, json.dumps(external))], STREAMS).write.mode("append").parquet(f"{self.root}/streams")
         before = {r["day"]: list(r["sources"] or []) for r in there}
-        self._append([(stream, r["day"], 2, r["mint"], r["maxt"], r["series"], r["samples"], sorted({*before.get(r["day"], []), *sources}), write, None) for r in counts])
+        self._append([(stream, r["day"], 2, r["mint"], r["maxt"], series[r["day"]], r["samples"], sorted({*before.get(r["day"], []), *sources}), write, None) for r in counts])
         return sorted(r["day"] for r in counts)
 
+    def _write_samples(self, samples: DataFrame, there: list, sizes: dict[date, int], write: str, stream: int) -> None:
+        """By day, series_id and time, merged with those of the blocks `there`; `sizes` has at least the days' rows.
+
+        Ids are hashes, evenly spread, so the days' rows tell where tasks of equal size begin: one shuffle, whose order
+        both merges samples and is written.
+        """
+        names = label_columns(samples.columns)
+        stale = F.col("is_stale") if "is_stale" in samples.columns else F.lit(False)
+        rest = [c for c in samples.columns if c not in ("ts_ms", "value", "is_stale", HIST, STORED_TIME, *(column(x) for x in names))]
+        kinds = ["value", *([HIST] if HIST in samples.columns else [])]
+        # which of equal times counts is told as in Storage.shown(), by the source's order unless some are stored already
+        tie = F.struct(*sorted([*rest, *kinds[1:]])) if rest and not there else F.lit(None).cast("int")
+        rows = samples.select(day_column().alias("day"), series_id(names).alias("series_id"), "ts_ms", *kinds, stale.alias("is_stale"), tie.alias("tie"))
+        if there:
+            rows = self._parts("samples", there).drop("write", "stream_hash", "slot").unionByName(rows, allowMissingColumns=True)
+            kinds = ["value", *([HIST] if HIST in rows.columns else [])]
+        best = F.min(F.struct("tie", *kinds[1:], F.isnan("value").alias("nan"), "value", "is_stale")).alias("best")
+        spans, total = [], 0
+        for d in sorted(sizes):
+            spans.append((d, total, sizes[d]))
+            total += sizes[d]
+        places = F.broadcast(self.spark.createDataFrame(spans, "day date, first bigint, size bigint"))
+        share = F.col("series_id") / float(1 << 64) + 0.5
+        rows = rows.join(places, "day").withColumn("part", F.floor((F.col("first") + F.col("size") * share) / ROWS_A_TASK).cast("int")).drop("first", "size")
+        merged = rows.repartitionById(total // ROWS_A_TASK + 1, F.col("part")).groupBy("part", "day", "series_id", "ts_ms").agg(best)
+        out = merged.select("day", "series_id", slot(F.col("ts_ms")).alias("slot"), "ts_ms", *(F.col(f"best.{x}").alias(x) for x in kinds), "best.is_stale")
+        out = out.sortWithinPartitions("day", "series_id", "ts_ms").withColumns({"write": F.lit(write), "stream_hash": F.lit(stream)})
+        out.write.mode("append").partitionBy("write", "stream_hash", "day").parquet(f"{self.root}/samples")
+
+    def _write_series(self, samples: DataFrame, there: list, write: str, stream: int, sort_labels: tuple[str, ...], series_per_file: int) -> None:
+        """By day and `sort_labels`, with their first and last times, merged with those of the blocks `there`."""
+        rows = samples.select(day_column().alias("day"), *(label(x) for x in label_columns(samples.columns)), F.col("ts_ms").alias("mint"), F.col("ts_ms").alias("maxt"))
+        if there:
+            rows = self._parts("series", there).drop("write", "stream_hash", "series_id").unionByName(rows, allowMissingColumns=True)
+        names = label_columns(rows.columns)
+        series = rows.groupBy("day", *(label(x) for x in names)).agg(F.min("mint").alias("mint"), F.max("maxt").alias("maxt"))
+        series = series.select("day", series_id(names).alias("series_id"), *(label(x) for x in names), "mint", "maxt")
+        order = ["day", *(label(x) for x in sort_labels if x in names), "series_id"]
+        out = series.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"write": F.lit(write), "stream_hash": F.lit(stream)})
+        out.write.option("maxRecordsPerFile", series_per_file).option("parquet.bloom.filter.enabled#l___name__", "true").mode("append").partitionBy("write", "stream_hash", "day").parquet(f"{self.root}/series")
+
     def _append(self, rows: list[tuple]) -> None:
         """Later rows have larger numbers, even if the clock was set back."""
         last = self._history().agg(F.max("written")).first()[0] or 0
@@ -216,10 +246,6 @@ class Store:
             found |= path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return found
 
-    def _joined(self, rows: list) -> DataFrame:
-        keys = ["write", "stream_hash", "day", "series_id"]
-        return self._parts("samples", rows).drop("slot").join(self._parts("series", rows).drop("mint", "maxt"), keys)
-
     def open(self, stream: int, low: int, high: int, external: dict[str, str] | None = None, **options) -> Storage:
         """A stream's samples between two times, with its external labels or those given instead.
 
@@ -234,7 +260,8 @@ class Store:
         values = self._parts("samples", wanted).where(F.col("ts_ms").between(low, high))
         if day_start(day_of(low)) == day_start(day_of(high)):  # within a day, slots are a range
             values = values.where(F.col("slot").between(low % DAY_MS // SLOT_MS, high % DAY_MS // SLOT_MS))
-        rows = values.drop("slot").join(series.drop("mint", "maxt"), keys).drop(*keys)
+        alike = ["write", "stream_hash"]  # a day has one write
+        rows = values.drop("slot", *alike).join(series.drop("mint", "maxt", *alike), ["day", "series_id"]).drop("day", "series_id")
         external = self.streams().get(stream, {}) if external is None else external
         return Storage(rows, external=external, series_rows=series.drop(*keys), unique=True, **options)
 

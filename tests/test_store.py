@@ -177,3 +177,29 @@ def test_periodic_jobs(spark):
     thread = ingest.periodically(job, 0.01, stop)
     thread.join(10)
     assert len(runs) == 3 and isinstance(thread.error, ValueError) and stop.is_set()
+
+
+def shuffled(spark):
+    """Records written to shuffles so far."""
+    jvm = spark._jvm
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_late_batch_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """Stored samples meet late ones in one shuffle, without a join or a second one for their order."""
+    monkeypatch.setattr("seriesforge.sources.store.ROWS_A_TASK", 1000, raising=False)
+    store = Store(spark, str(tmp_path))
+    rows = spark.range(6000).select((F.col("id") * 20_000).alias("ts_ms"), F.col("id").cast("double").alias("value"), F.lit("m").alias("l___name__"), (F.col("id") % 20).cast("string").alias("l_a"), F.col("id"))
+    store.convert(rows.where("id % 2 = 0"), {}, ["one"])
+    before = shuffled(spark)
+    assert store.convert(rows.where("id % 3 > 0"), {}, ["two"]) == [day(0), day(1)]
+    assert shuffled(spark) - before < 8000  # 3000 are stored, 4000 come
+    got = store.open(0, 0, 9 * DAY_MS).select([])
+    assert sorted((r["ts_ms"], r["value"], r["l_a"]) for r in got.collect()) == [(i * 20_000, float(i), str(i % 20)) for i in range(6000) if i % 2 == 0 or i % 3]
+    # files are sorted, and none of a day takes series of another one's
+    last = store.blocks().where("day = '1970-01-01'").first()
+    files = sorted((tmp_path / "samples" / f"write={last['write']}" / "stream_hash=0" / "day=1970-01-01").glob("*.parquet"))
+    each = [[(r["series_id"], r["ts_ms"]) for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert len(each) > 1 and all(x == sorted(x) for x in each) and sum(map(len, each)) == last["samples"] and last["series"] == 20
+    assert sum(len({s for s, _ in x}) for x in each) == 20
