@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import Encoder
 
+#: Different words of a slice are looked up once, so larger slices need fewer lookups; they go less often to a cache, which is small.
+SLICE_BYTES, CACHED = 1 << 22, 100_000
 SCHEMA = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
 
 
@@ -30,10 +32,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_group_mb:
     """Encode every text and write the folder `path`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, CACHED)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows, texts in common.slices(batch):
+            for rows, texts in common.slices(batch, most=SLICE_BYTES):
                 encoded = encoder.encode(texts)
                 ends = np.array([end_id], encoder.dtype).tobytes()
                 ids = np.frombuffer(ends.join(encoded) + ends, encoder.dtype).astype(np.int32)
